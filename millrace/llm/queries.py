@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from millrace.llm.mixing import op9_mixing
+from millrace.llm.packing import op5_best_fit_packing
+from millrace.llm.simhash import op2_simhash
 from millrace.llm.sstable import op1_token_output
+from millrace.llm.token_counts import op8_token_counts
 
 QUERIES = {
     "op1_token_output": op1_token_output,
+    "op2_simhash": op2_simhash,
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op8_token_counts": op8_token_counts,
+    "op9_mixing": op9_mixing,
 }
 
 ORACLE: dict[str, str] = {}
