@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from millrace.llm.langid import op10_language_id
 from millrace.llm.mixing import op9_mixing
 from millrace.llm.packing import op5_best_fit_packing
 from millrace.llm.simhash import op2_simhash
@@ -14,6 +15,7 @@ QUERIES = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op8_token_counts": op8_token_counts,
     "op9_mixing": op9_mixing,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE: dict[str, str] = {}
