@@ -13,7 +13,6 @@ words' vectors are cached, so whole texts of any length cost one lookup a word.
 
 from __future__ import annotations
 
-import re
 import zlib
 from dataclasses import dataclass
 
@@ -22,9 +21,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import fold, table
+from millrace.llm.words import letter_words
 
-LETTERS = re.compile(r"[^\W\d_]+").findall
-CACHE = 400_000
+CACHE = 600_000
 
 
 def subwords(word: str, buckets: int, low: int = 2, high: int = 4) -> list[int]:
@@ -47,7 +46,6 @@ class Model:
     def __post_init__(self):
         self.logits = (self.emb @ self.out).astype(np.float32)
         self._word: dict[str, int] = {}
-        self._piece: dict[str, int] = {}
         self._clear()
 
     def __getstate__(self):
@@ -59,7 +57,6 @@ class Model:
 
     def _clear(self) -> None:
         self._word.clear()
-        self._piece.clear()
         self._sums, self._n = np.zeros((1024, len(self.langs) + 1)), 1  # row 0: nothing
 
     def _add(self, row: np.ndarray) -> int:
@@ -76,24 +73,15 @@ class Model:
             at = self._word[word] = self._add(np.append(self.logits[ids].sum(axis=0, dtype=np.float64), len(ids)))
         return at
 
-    def _of_piece(self, piece: str) -> int:
-        words = LETTERS(piece)
-        if len(words) == 1:
-            return self._of_word(words[0])
-        return self._add(sum(self._sums[self._of_word(w)] for w in words)) if words else 0
-
     def totals(self, text: str) -> np.ndarray:
         """Sum of the logits of all subwords, and their number."""
         if self._n > CACHE:
             self._clear()
-        known, pieces = self._piece, text.lower().split()
+        known, words = self._word, letter_words(text)
         try:
-            at = [known[p] for p in pieces]
+            at = [known[w] for w in words]
         except KeyError:
-            for p in pieces:
-                if p not in known:
-                    known[p] = self._of_piece(p)
-            at = [known[p] for p in pieces]
+            at = [self._of_word(w) for w in words]
         return self._sums[at].sum(axis=0)
 
     def probabilities(self, text: str | None) -> np.ndarray | None:
@@ -122,7 +110,7 @@ def snippets(docs: DataFrame, learn, per_lang: int = 1000, per_doc: int = 3, max
         for batch in batches:
             out = []
             for lang, text, h in zip(*(batch[c].to_pylist() for c in ("lang", "text", "_h"))):
-                words = LETTERS(text.lower())
+                words = letter_words(text)
                 rng = np.random.default_rng(h % 2**63)
                 for k in range(per_doc if words else 0):
                     n = int(rng.integers(1, 4)) if k == 0 else int(rng.integers(1, max_words + 1))
