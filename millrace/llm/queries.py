@@ -8,11 +8,13 @@ from millrace.llm.packing import op5_best_fit_packing
 from millrace.llm.simhash import op2_simhash
 from millrace.llm.sstable import op1_token_output
 from millrace.llm.token_counts import op8_token_counts
+from millrace.llm.topk import OP3_SQL, op3_exact_topk
 from millrace.llm.toxicity import op6_toxicity
 
 QUERIES = {
     "op1_token_output": op1_token_output,
     "op2_simhash": op2_simhash,
+    "op3_exact_topk": op3_exact_topk,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_toxicity": op6_toxicity,
     "op8_token_counts": op8_token_counts,
@@ -20,4 +22,4 @@ QUERIES = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op3_exact_topk": OP3_SQL}
