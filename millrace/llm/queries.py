@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from millrace.llm.langid import op10_language_id
+from millrace.llm.lattice import op4_lattice_near_dups
 from millrace.llm.mixing import op9_mixing
 from millrace.llm.packing import op5_best_fit_packing
 from millrace.llm.simhash import op2_simhash
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_token_output": op1_token_output,
     "op2_simhash": op2_simhash,
     "op3_exact_topk": op3_exact_topk,
+    "op4_lattice_near_dups": op4_lattice_near_dups,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_toxicity": op6_toxicity,
     "op8_token_counts": op8_token_counts,
