@@ -98,7 +98,7 @@ def takings(rows: DataFrame, chosen: DataFrame, block_words: int = BLOCK_WORDS)
     """One row for each document, block and slot of it: the columns of rows, pass, first and last (words of the document, last not included)."""
     end = F.col("offset") + F.col("size")
     pieces = rows.where("size > 0").withColumn("block", F.explode(F.sequence(F.expr(f"offset div {block_words}"), F.expr(f"(offset + size - 1) div {block_words}"))))
-    met = pieces.join(chosen.select("source_no", "block", "pass", "words"), ["source_no", "block"])
+    met = pieces.join(chosen.select("source_no", "block", "pass", "words").hint("merge"), ["source_no", "block"])  # slots grow with the words: no broadcast
     start = F.col("block") * block_words
     met = met.withColumns({"first": F.greatest(start, F.col("offset")) - F.col("offset"), "last": F.least(start + F.col("words"), end) - F.col("offset")})
     return met.where("first < last")
