@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from millrace.llm.html_text import op7_html_extraction
 from millrace.llm.langid import op10_language_id
 from millrace.llm.lattice import op4_lattice_near_dups
 from millrace.llm.mixing import op9_mixing
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_lattice_near_dups": op4_lattice_near_dups,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_toxicity": op6_toxicity,
+    "op7_html_extraction": op7_html_extraction,
     "op8_token_counts": op8_token_counts,
     "op9_mixing": op9_mixing,
     "op10_language_id": op10_language_id,
