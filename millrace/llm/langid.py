@@ -26,10 +26,11 @@ from millrace.llm.words import letter_words
 CACHE = 600_000
 
 
-def subwords(word: str, buckets: int, low: int = 2, high: int = 4) -> list[int]:
-    marked = f"<{word}>"
-    grams = {marked[k : k + n] for n in range(low, high + 1) for k in range(len(marked) - n + 1)}
-    return [zlib.crc32(g.encode()) % buckets for g in sorted(grams | {marked})]
+def subwords(word: str, buckets: int, low: int = 2, high: int = 5) -> list[int]:
+    """Buckets of the n-grams of a word's bytes, with boundary marks, and of the whole word."""
+    marked = b"<" + word.encode() + b">"
+    crc, n = zlib.crc32, len(marked)
+    return [crc(marked[k : k + g]) % buckets for g in range(low, high + 1) for k in range(n - g + 1)] + [crc(marked) % buckets]
 
 
 @dataclass
@@ -59,19 +60,16 @@ class Model:
         self._word.clear()
         self._sums, self._n = np.zeros((1024, len(self.langs) + 1)), 1  # row 0: nothing
 
-    def _add(self, row: np.ndarray) -> int:
-        if self._n == len(self._sums):
+    def _learn(self, words: list[str]) -> None:
+        """Sums up the logits of new words, all at once."""
+        ids = [subwords(w, len(self.emb)) for w in words]
+        n = np.array([len(x) for x in ids])
+        sums = np.add.reduceat(self.logits[np.concatenate([np.array(x) for x in ids])], np.append(0, np.cumsum(n)[:-1]), axis=0, dtype=np.float64)
+        while self._n + len(words) > len(self._sums):
             self._sums = np.vstack([self._sums, np.zeros_like(self._sums)])
-        self._sums[self._n] = row
-        self._n += 1
-        return self._n - 1
-
-    def _of_word(self, word: str) -> int:
-        at = self._word.get(word)
-        if at is None:
-            ids = subwords(word, len(self.emb))
-            at = self._word[word] = self._add(np.append(self.logits[ids].sum(axis=0, dtype=np.float64), len(ids)))
-        return at
+        self._sums[self._n : self._n + len(words)] = np.column_stack([sums, n])
+        self._word.update(zip(words, range(self._n, self._n + len(words))))
+        self._n += len(words)
 
     def totals(self, text: str) -> np.ndarray:
         """Sum of the logits of all subwords, and their number."""
@@ -81,7 +79,8 @@ class Model:
         try:
             at = [known[w] for w in words]
         except KeyError:
-            at = [self._of_word(w) for w in words]
+            self._learn(list({w for w in words if w not in known}))
+            at = [known[w] for w in words]
         return self._sums[at].sum(axis=0)
 
     def probabilities(self, text: str | None) -> np.ndarray | None:
@@ -99,9 +98,12 @@ def snippets(docs: DataFrame, learn, per_lang: int = 1000, per_doc: int = 3, max
 
     learn: which rows may be learned from. Their share is drawn by hash, so that no language is gathered in one task.
     """
-    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "text"))
-    share = rows.groupBy("lang").agg((F.lit(1.5 * per_lang) / F.count("*") * 2**20).alias("_share"))
-    drawn = rows.select("lang", "text", "_h").join(share.withColumnRenamed("lang", "_l"), F.col("lang") == F.col("_l")).where(F.pmod("_h", F.lit(2**20)) < F.col("_share"))
+    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = dict(rows.groupBy("lang").count().collect())  # a model has a column for each language, so these fit the driver
+    if not counts:
+        return docs.sparkSession.createDataFrame([], "lang string, doc long, snippet string")
+    share = F.create_map(*(x for lang, n in counts.items() for x in (F.lit(lang), F.lit(1.5 * per_lang / n * 2**20))))
+    drawn = rows.select("lang", "text", F.xxhash64(F.lit(seed), "text").alias("_h")).where(F.pmod("_h", F.lit(2**20)) < F.element_at(share, F.col("lang")))
     drawn = drawn.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy("_h"))).where(F.col("_k") <= per_lang).select("lang", "text", "_h")
 
     def cut(batches):
