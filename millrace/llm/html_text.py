@@ -206,7 +206,7 @@ def extract(pages: DataFrame, min_pages: int = 5, most_broadcast: int = 500_000)
     """
     rules = written(templates(pages, min_pages), "templates")
     size = rules.agg(F.sum(F.coalesce(F.size("fixed"), F.lit(0)) + 8)).first()[0] or 0
-    rows = pages.select("page_id", "url", "html", host_of().alias("host"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of().alias("host"))
     met = rows.join(F.broadcast(rules) if size <= most_broadcast else rules, "host", "left") if size else rows.selectExpr("*", "cast(null as array<long>) fixed", "cast(null as string) container", "false varied")
 
     def run(batches):
@@ -229,4 +229,4 @@ def extract(pages: DataFrame, min_pages: int = 5, most_broadcast: int = 500_000)
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
-    return extract(table(spark, sf_dir, "pages").withColumn("page_id", F.col("page_id").cast("long")))
+    return extract(table(spark, sf_dir, "pages"))

@@ -132,8 +132,8 @@ def train(rows: list[tuple[str, int, str]], buckets: int = 1 << 15, dim: int = 1
     emb, out, bias = rng.normal(0, 0.1, (buckets, dim)), np.zeros((dim, len(langs))), np.zeros(len(langs))
     if len(langs) < 2:
         return Model(langs, emb, out, bias)
-    known: dict[str, list[int]] = {}
-    data = [([i for w in s.split() for i in known.setdefault(w, None) or known.__setitem__(w, subwords(w, buckets)) or known[w]], langs.index(lang)) for lang, _, s in rows]
+    known = {w: subwords(w, buckets) for w in {w for _, _, s in rows for w in s.split()}}
+    data = [([i for w in s.split() for i in known[w]], langs.index(lang)) for lang, _, s in rows]
     held = np.array([doc % 5 == 0 for _, doc, _ in rows])
     weight = len(rows) / (len(langs) * np.bincount([y for _, y in data], minlength=len(langs)))  # languages count alike
     order, steps = np.flatnonzero(~held), 0
@@ -180,7 +180,7 @@ def fit(docs: DataFrame, learn, **options) -> Model:
 
 
 def identify(docs: DataFrame, model: Model, unknown: str = "und") -> DataFrame:
-    """Adds lang_pred, lang_score and lang_rejected to any table with text; other columns pass through.
+    """Adds lang_pred, lang_score and lang_rejected (in place of columns of these names) to any table with text; other columns pass through.
 
     A null text, or one without a letter, is `unknown`, with score 0, and rejected. Others get the
     likeliest language and its calibrated probability, and are rejected below the model's threshold.
@@ -202,6 +202,7 @@ def identify(docs: DataFrame, model: Model, unknown: str = "und") -> DataFrame:
             new = [pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(out, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*(batch[n] for n in kept), *new], [*kept, "lang_pred", "lang_score", "lang_rejected"])
 
+    docs = docs.drop("lang_pred", "lang_score", "lang_rejected")
     kept = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, lang_score double, lang_rejected boolean"
     return docs.mapInArrow(run, schema)

@@ -74,15 +74,15 @@ def slots(rows: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS, shard_
     """The mix: source_no, pass, block, words (taken from the block's start), shard, place of every slot."""
     b, n = F.lit(block_words), Window.partitionBy(F.lit(0))
     s = rows.groupBy("source_no", "source_size", "target").agg(F.lit(1).alias("_")).where("source_size > 0").drop("_")
-    s = s.withColumn("_take", F.round("target").cast("long")).withColumn("_blocks", F.ceil(F.col("source_size") / b))
-    s = s.withColumn("_full", F.expr("_take div source_size")).withColumn("_rest", F.col("_take") - F.col("_full") * F.col("source_size"))
+    s = s.withColumn("_take", F.round("target").cast("long")).withColumn("_blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / b)))
+    s = s.withColumn("_full", F.expr("_take div greatest(source_size, 1)")).withColumn("_rest", F.col("_take") - F.col("_full") * F.col("source_size"))
     key = F.lit(seed), F.col("source_no")
     s = s.withColumn("_lack", F.col("_blocks") * b - F.col("source_size"))  # of the short last block, and its place in the part of a pass
     s = s.withColumn("_short", shuffled(F.col("_blocks") - 1, F.col("_blocks"), *key, F.col("_full"), inverse=True))
     s = s.withColumn("_part", F.ceil(F.col("_rest") / b))
     s = s.withColumn("_part", F.when(F.col("_short") < F.col("_part"), F.ceil((F.col("_rest") + F.col("_lack")) / b)).otherwise(F.col("_part")))
     s = s.withColumn("_slots", F.col("_full") * F.col("_blocks") + F.col("_part"))
-    s = s.withColumns({"_first": F.sum("_slots").over(n.orderBy("source_no")) - F.col("_slots"), "_all": F.sum("_slots").over(n)}).where("_slots > 0")
+    s = s.withColumns({"_first": F.sum("_slots").over(n.orderBy("source_no")) - F.col("_slots"), "_all": F.greatest(F.lit(1), F.sum("_slots").over(n))}).where("_slots > 0")
     s = s.withColumn("_chunk", F.explode(F.expr(f"sequence(0L, (_slots - 1) div {CHUNK})"))).repartition(parts(rows.sparkSession), "source_no", "_chunk")
     s = s.withColumn("_k", F.explode(F.expr(f"sequence(_chunk * {CHUNK}, least(_slots, (_chunk + 1) * {CHUNK}) - 1)")))
     s = s.withColumns({"pass": F.expr("_k div _blocks"), "_i": F.expr("_k % _blocks")})
@@ -130,16 +130,16 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), seed: int = 0
     runs = runs.groupBy("doc_id", "text_hash", "source", "source_no", "offset", "size", "pass", "_run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
     key = ["doc_id", "text_hash", "source"]
     runs = runs.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("pass", "first", "last", "size"))).alias("_runs"))
-    named = runs.select(*(F.col(c).alias(f"_{c}") for c in key), "_runs")
-    whole = docs.withColumns({"_d": F.col("doc_id").cast("long"), "_h": F.xxhash64("text")}).dropDuplicates(["_d", "_h", "source"])
-    met = whole.join(named, F.col("_d").eqNullSafe(F.col("_doc_id")) & (F.col("_h") == F.col("_text_hash")) & F.col("source").eqNullSafe(F.col("_source")))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    whole = docs.select(row.alias("_row"), F.col("doc_id").cast("long").alias("_d"), F.xxhash64("text").alias("_h"), F.col("source").alias("_s"), F.col("text").alias("_t")).dropDuplicates(["_d", "_h", "_s"])
+    met = whole.join(runs, F.col("_d").eqNullSafe(F.col("doc_id")) & (F.col("_h") == F.col("text_hash")) & F.col("_s").eqNullSafe(F.col("source")))
     met = met.withColumn("_run", F.explode("_runs")).withColumn("_n", F.col("_run.last") - F.col("_run.first"))
-    words = F.slice(F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1)), (F.col("_run.first") + 1).cast("int"), F.col("_n").cast("int"))
-    piece = F.when(F.col("_n") == F.col("_run.size"), F.col("text")).otherwise(F.array_join(words, ""))
-    out = met.withColumn("text", piece)
+    words = F.slice(F.regexp_extract_all("_t", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1)), (F.col("_run.first") + 1).cast("int"), F.col("_n").cast("int"))
+    met = met.withColumn("_t", F.when(F.col("_n") == F.col("_run.size"), F.col("_t")).otherwise(F.array_join(words, "")))
+    new = F.col("_row").withField("text", F.col("_t"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new = new.withField("n_chars", F.length("_t").cast(docs.schema["n_chars"].dataType))
+    return met.select(new.alias("_row")).select("_row.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

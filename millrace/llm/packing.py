@@ -129,10 +129,10 @@ def pieces(docs: DataFrame, max_len: int = 2048, tokenizer: str | None = None, e
 def pack(cut_pieces: DataFrame, max_len: int = 2048) -> DataFrame:
     """Adds sequence_id and offset to a table with doc_id, piece, ids_crc32 and length (1..max_len).
 
-    Bins hold at most max_len, without gaps. Equal rows are interchangeable. An empty table stays
+    Columns named sequence_id, offset, _bucket, _n, _before or _rank are replaced or dropped. Bins hold at most max_len, without gaps. Equal rows are interchangeable. An empty table stays
     empty. The driver reads one count for each length.
     """
-    spark = cut_pieces.sparkSession
+    spark, cut_pieces = cut_pieces.sparkSession, cut_pieces.drop("sequence_id", "offset", "_bucket", "_n", "_before", "_rank")
     counts = {r["length"]: r["count"] for r in cut_pieces.groupBy("length").count().collect()}
     runs, _ = best_fit_decreasing(counts, max_len)
     plan = spark.sparkContext.broadcast(runs)  # bounded by max_len

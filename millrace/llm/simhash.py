@@ -113,9 +113,9 @@ def one_of_each(docs: DataFrame, n: int = 3, bits: int = 2, id_col: str = "doc_i
     rows = written(fingerprints(docs, n, id_col=id_col, text_col=text_col), "fingerprints")
     firsts = written(components(rows, bits).select(F.col("component_id").alias("_id"), F.col("first_hash").alias("_hash")).distinct(), "firsts")
     forget(rows)
-    marked = docs.withColumns({"_id": F.col(id_col).cast("long"), "_hash": F.xxhash64(text_col)})
+    marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_hash"))
     keep = marked.alias("d").join(firsts.alias("f"), F.col("d._id").eqNullSafe(F.col("f._id")) & (F.col("d._hash") == F.col("f._hash")), "left_semi")
-    return keep.dropDuplicates(["_id", "_hash"]).drop("_id", "_hash")
+    return keep.dropDuplicates(["_id", "_hash"]).select("row.*")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -250,11 +250,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds toxic_score, toxic_examples (ids of the nearest, best first) and toxic_terms to any table with text.
+    """Adds toxic_score, toxic_examples (ids of the nearest, best first) and toxic_terms (in place of columns of these names) to any table with text.
 
     A null or empty text has no term. Other columns pass through; repeated rows score alike.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop("toxic_score", "toxic_examples", "toxic_terms")
     kept = docs.columns
 
     def run(batches):
