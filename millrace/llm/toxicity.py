@@ -196,14 +196,15 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
     """Learns from rows of docs whose doc_id has a label (0 or 1; the larger, if several) and for which learn holds."""
     spark = docs.sparkSession
     marks = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("_y"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(learn).join(marks, "doc_id").withColumn("_h", F.xxhash64(F.lit("example"), F.coalesce("text", F.lit(""))))
-    # the join's plan is run for the counts of ids alone: no text is read for it
-    all_n = dict(docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(learn).join(marks, "doc_id").groupBy("_y").count().collect())
+    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_h", F.xxhash64(F.lit("example"), F.coalesce("text", F.lit(""))))
+    met = hashed.where(learn).select("doc_id", "_h").join(marks, "doc_id")  # ids and hashes only: no text is shuffled
+    all_n = dict(met.groupBy("_y").count().collect())
     if not all_n:
         return Model([], np.zeros(0), [], (1.0, 1.0), k)
     wanted = F.coalesce(*(F.when(F.col("_y") == y, F.lit(1.5 * per_class / n * 2**20)) for y, n in all_n.items()))
-    drawn = rows.where(F.pmod("_h", F.lit(2**20)) < wanted)
-    drawn = drawn.withColumn("_k", F.row_number().over(Window.partitionBy("_y").orderBy("_h", "doc_id"))).where(F.col("_k") <= per_class)
+    ids = met.where(F.pmod("_h", F.lit(2**20)) < wanted)
+    ids = ids.withColumn("_k", F.row_number().over(Window.partitionBy("_y").orderBy("_h", "doc_id"))).where(F.col("_k") <= per_class).select("doc_id", "_h", "_y").distinct()
+    drawn = hashed.join(F.broadcast(ids), ["doc_id", "_h"])  # two times per_class ids at most
 
     def words_of(batches):
         import pyarrow as pa
