@@ -63,7 +63,7 @@ def revised_answer(trace: Column, options: Column) -> Column:
 def looping(c: Column) -> Column:
     """A line of 30 characters or more occurs three times: equal neighbours in the sorted lines, two steps apart."""
     long = F.array_sort(F.filter(F.transform(lines(c), strip), lambda x: F.length(x) >= LONG_LINE))
-    return F.exists(F.arrays_zip(long.alias("a"), F.slice(long, REPEATS, 2**30).alias("b")), lambda z: z["a"] == z["b"])
+    return F.exists(F.arrays_zip(long.alias("a"), F.slice(long, REPEATS, 2**30).alias("b")), lambda z: F.coalesce(z["a"] == z["b"], F.lit(False)))
 
 
 def unterminated(c: Column) -> Column:

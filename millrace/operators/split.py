@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_ALL = Window.partitionBy(F.lit(0))
-
 
 def seeded(seed: int | str, *ids: str) -> Column:
     """An order that looks random and only depends on the seed and the ids."""
@@ -35,7 +33,7 @@ def place(df: DataFrame, *order: Column | str) -> DataFrame:
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
     ranged = ranged.persist()
-    before = ranged.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(_ALL.orderBy("_p")) - F.col("_n"))
+    before = ranged.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_p")) - F.col("_n"))
     within = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
     return ranged.join(F.broadcast(before.select("_p", "_before")), "_p").withColumn("place", F.col("_before") + within).drop("_p", "_m", "_before")
 
