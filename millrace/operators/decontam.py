@@ -31,7 +31,7 @@ class HeldOut:
         A row is an n-gram hit if it holds share of some item's distinct grams.
         """
         exact = docs.join(self._side(self.keys), docs[key] == self.keys["key"], "left_semi").select(id_col, F.lit("exact").alias("verdict"))
-        grams = docs.select(id_col, F.explode(word_grams(F.col(key), self.gram)).alias("gram"))
+        grams = docs.select(id_col, word_grams(F.col(key), self.gram).alias("grams")).select(id_col, F.explode("grams").alias("gram"))
         counted = grams.join(self._side(self.grams), "gram").groupBy(id_col, "item", "size").agg(F.count("*").alias("n"))
         near = counted.where(F.col("n") >= self.share * F.col("size")).select(id_col, F.lit("ngram").alias("verdict"))
         return exact.unionByName(near).groupBy(id_col).agg(F.min("verdict").alias("verdict"))
