@@ -4,15 +4,18 @@ A page is read as tokens: each opening tag with its path of open elements, and e
 with its path. For every host, a token's occurrence vector (how often it occurs on each page) is
 kept as a fingerprint that pages add to in any order, so a host of any size is summed up in
 parallel. Tokens of a host that share their occurrence vector are an equivalence class. A class is
-valid if enough pages have it and tags are among it: its texts are then part of the template that
-these tags make, such as the fixed words of a bar, a notice or a button. (Runs of text that only
-repeat, as in copies of an article, share no vector with tags and stay.) Classes nest by the paths
-of their tags; what the template leaves open are its slots, named by the path that encloses them.
-
-Main text is what stands in the slots of the article: inside <article> or <main> where a page has
-them, else in the container of the host whose slots hold most text outside links. Slots inside
-menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments,
-told by element, role, class or id, are left out.
+valid if enough pages of different content have it and tags are among it: its texts are then part of
+the template that these tags make, such as the fixed words of a bar, a notice or a button. Pages
+whose longest runs (half of the main text) are the same have one content, so that copies of an
+article make no template, whatever tags they hold.
+
+The order and nesting of classes are not checked and no tree of templates is built: what takes its
+place is the path in every token, which tells where in the page a text stands.
+
+Main text is what the template leaves open inside <article> or <main> where a page has them, else
+inside the common ancestor of what holds text outside links. Menus, headers, footers, sidebars,
+notices, adverts, forms and reader comments, told by element, role, class or id, are left out, but
+an <article> or <main> inside of one is not if the page has no other; scripts and styles always are.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from __future__ import annotations
 import html as _html
 import re
 from collections import Counter
+from os.path import commonprefix
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +33,8 @@ from millrace.llm.common import table, written
 #: Element and attribute names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noframes".split())
-LEFT_OUT = frozenset("head nav header footer aside form menu button select datalist dialog script style textarea title noscript iframe xmp noframes template svg math canvas object audio video".split())
+REGIONS = frozenset("nav header footer aside form menu dialog".split())
+LEFT_OUT = frozenset("head button select datalist script style textarea title noscript iframe xmp noframes template svg math canvas object audio video".split())
 MAIN = frozenset("article main".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter nobr output progress q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr img".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
@@ -39,6 +44,9 @@ BOILERPLATE = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead topbar footer colophon copyright sidebar widget widgets "
     "notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe signup login search searchform comment comments commentlist respond reply replies disqus share sharing social related recommended pagination pager toolbar skip contentinfo complementary".split()
 )
+#: Words that names of such regions have besides: "site-header" is one, "share-price" and "has-sidebar" aren't.
+STRUCTURE = frozenset("area bar block body bottom box button buttons col column container content form global group header icon icons inner item items left link links list main outer page panel post primary reader right section secondary site slot text title top user wrap wrapper".split())
+_NUMBER = re.compile(r"\d+")
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -46,24 +54,33 @@ _RAW_END = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in RAW}
 
 
 class _Element:
-    __slots__ = ("link", "main", "name", "out", "path")
+    __slots__ = ("base", "hints", "link", "name", "out", "path")
 
-    def __init__(self, name: str, path: str, out: bool, main: bool, link: bool):
-        self.name, self.path, self.out, self.main, self.link = name, path, out, main, link
+    def __init__(self, name: str, path: str, out: bool, base: int | None, hints: int, link: bool):
+        self.name, self.path, self.out, self.base, self.hints, self.link = name, path, out, base, hints, link
 
 
-def parse(source: str) -> tuple[list[str], list[tuple[str, str, int, bool, bool, bool]]]:
-    """Paths of opening tags, and runs of text (container path, text, block, left out, inside main, inside a link)."""
+def _hint(mark: str) -> bool:
+    """Whether a class, id or role names boilerplate: one of its names has such a word, and no word of another kind."""
+    return any(not BOILERPLATE.isdisjoint(w) and w <= BOILERPLATE | STRUCTURE for w in (set(re.split(r"[^a-z]+", x)) - {""} for x in mark.split()))
+
+
+def parse(source: str) -> tuple[list[str], list[tuple[str, str, int, bool, int | None, int, bool]]]:
+    """Paths of opening tags, and runs of text: container path, text, block, left out, base, hints, inside a link.
+
+    hints: how many elements around it look like boilerplate; base: how many of these are around the
+    outermost <article> or <main>, None outside of one. Numbers in classes and ids don't tell paths apart.
+    """
     tags: list[str] = []
-    runs: list[tuple[str, str, int, bool, bool, bool]] = []
-    stack = [_Element("", "", False, False, False)]
+    runs: list[tuple[str, str, int, bool, int | None, int, bool]] = []
+    stack = [_Element("", "", False, None, 0, False)]
     block = at = 0
 
     def text(chunk: str) -> None:
         if chunk and not chunk.isspace():
             top = stack[-1]
             box = next(e for e in reversed(stack) if e.name not in INLINE and e.name != "p")
-            runs.append((box.path, _html.unescape(chunk) if "&" in chunk else chunk, block, top.out, top.main, top.link))
+            runs.append((box.path, _html.unescape(chunk) if "&" in chunk else chunk, block, top.out, top.base, top.hints, top.link))
 
     def close_to(k: int) -> None:
         nonlocal block
@@ -99,16 +116,16 @@ def parse(source: str) -> tuple[list[str], list[tuple[str, str, int, bool, bool,
         if name not in INLINE:
             block += 1
         marks = [(x or y or z).lower() for _, x, y, z in _ATTR.findall(m[3])] if "=" in m[3] else []
-        words = {w for s in marks for w in re.split(r"[^a-z0-9]+", s)}
         top = stack[-1]
-        label = name + "".join("." + s for s in marks)
+        label = name + "".join("." + _NUMBER.sub("#", s).replace("/", "_") for s in marks)
         path = f"{top.path}/{label}"
         tags.append(path)
         if name in VOID or m[3].endswith("/") and name not in ENDS_P:
             continue
-        main = top.main or name in MAIN or "main" in marks
-        out = top.out or name in LEFT_OUT or name not in ("html", "body", "article", "main") and not words.isdisjoint(BOILERPLATE)
-        stack.append(_Element(name, path, out, main, top.link or name == "a"))
+        main = name in MAIN or "main" in marks
+        hinted = name in REGIONS or name not in ("html", "body") and not main and any(map(_hint, marks))
+        base = top.hints if top.base is None and main else top.base
+        stack.append(_Element(name, path, top.out or name in LEFT_OUT, base, top.hints + hinted, top.link or name == "a"))
         if name in RAW:
             end = _RAW_END[name].search(source, at)
             at = end.end() if end else len(source)
@@ -137,19 +154,34 @@ def page_tokens(source: str) -> tuple[Counter, list]:
     return Counter([*(f"<{t}" for t in tags), *(f"{r[0]}|{_tidy(r[1])}" for r in runs)]), runs
 
 
-def main_text(source: str, fixed: frozenset, container: str | None, keep_fixed_in_main: bool) -> str:
-    """fixed: hashes of the host's template texts. container: where to look on pages without <article> or <main>."""
-    _, runs = parse(source)
-    has_main = any(r[4] and not r[3] for r in runs)
+def slots(runs: list, fixed: frozenset = frozenset()) -> list:
+    """The runs of a page's main text, without template texts (hashes in fixed).
+
+    Those of its <article> or <main>, of the ones with fewest boilerplate regions around them; on a
+    page without one, all inside the common ancestor of what holds text outside links.
+    """
+    inside = [r for r in runs if not r[3] and r[4] is not None and r[5] == r[4]]
+    if inside:
+        least = min(r[4] for r in inside)
+        kept = [r for r in inside if r[4] == least]
+    else:
+        kept = [r for r in runs if not r[3] and not r[5]]
+    if fixed:
+        kept = [r for r in kept if _hash(f"{r[0]}|{_tidy(r[1])}") not in fixed]
+    if inside:
+        return kept
+    boxes = {r[0] for r in kept if not r[6]}
+    if not boxes:
+        return kept
+    box = commonprefix([b.split("/") for b in boxes])
+    return [r for r in kept if r[0].split("/")[: len(box)] == box]
+
+
+def main_text(source: str, fixed: frozenset) -> str:
+    """fixed: hashes of the host's template texts."""
     blocks: list[str] = []
     last = None
-    for path, text, block, out, main, _ in runs:
-        if out or has_main and not main:
-            continue
-        if not has_main and container is not None and path != container and not path.startswith(container + "/"):
-            continue
-        if fixed and not (main and keep_fixed_in_main) and _hash(f"{path}|{_tidy(text)}") in fixed:
-            continue
+    for _, text, block, *_ in slots(parse(source)[1], fixed):
         if block == last:
             blocks[-1] += text
         else:
@@ -158,43 +190,47 @@ def main_text(source: str, fixed: frozenset, container: str | None, keep_fixed_i
     return "\n".join(t for t in map(_tidy, blocks) if t)
 
 
+def content_bits(runs: list) -> tuple[int, int]:
+    """One bit of 128 by what a page is about: the longest runs that hold half of its main text. Copies of an article share it."""
+    texts = sorted({_tidy(r[1]) for r in slots(runs)}, key=lambda t: (-len(t), t))
+    half, held, longest = sum(map(len, texts)) / 2, 0, []
+    for t in texts:
+        if held >= half:
+            break
+        held += len(t)
+        longest.append(t)
+    bit = _hash("\n".join(longest)) % 128
+    one = 1 << bit % 64
+    one -= (one >> 63) << 64
+    return (one, 0) if bit < 64 else (0, one)
+
+
 def templates(pages: DataFrame, min_pages: int = 5) -> DataFrame:
-    """host, n_pages, fixed (hashes of its template texts), container, varied (whether its pages differ) of hosts that need one.
+    """host, fixed (hashes of its template texts) of hosts that have any.
 
-    pages: page_id, url, html. Container is null where pages have <article> or <main>.
+    pages: page_id, url, html. A class's pages must differ in content: copies of one article aren't a template.
     """
 
     def tokens(batches):
         import pyarrow as pa
 
-        names = ["host", "token", "is_text", "n", "vector", "box", "chars"]
-        kinds = [pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
+        names = ["host", "token", "is_text", "n", "vector", "low", "high"]
+        kinds = [pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
         for batch in batches:
             rows = []
             for page_id, url, host, source in zip(*(batch[c].to_pylist() for c in ("page_id", "url", "host", "html"))):
                 counts, runs = page_tokens(source or "")
-                rows.append((host, 0, False, 1, 0, None, 0))
-                rows += [(host, _hash(t), t[0] != "<", n, _hash(f"{page_id} {n} {url}"), None, 0) for t, n in counts.items()]
-                if not any(r[4] and not r[3] for r in runs):
-                    boxes = Counter()
-                    for path, text, _, out, _, link in runs:
-                        if not out and not link:
-                            boxes[path] += len(text)
-                    rows += [(host, _hash("box" + b), False, 0, 0, b, n) for b, n in boxes.items()]
+                bits = content_bits(runs)
+                rows += [(host, _hash(t), t[0] != "<", n, _hash(f"{page_id} {n} {url}"), *bits) for t, n in counts.items()]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
-    rows = pages.select("page_id", "url", host_of().alias("host"), "html").mapInArrow(tokens, "host string, token long, is_text boolean, n long, vector long, box string, chars long")
-    summed = written(rows.groupBy("host", "token", "is_text", "box").agg(F.count("*").alias("pages"), F.sum("n").alias("total"), F.bit_xor("vector").alias("vector"), F.sum("chars").alias("chars")), "tokens")
-    n_pages = summed.where("token = 0").select("host", F.col("pages").alias("n_pages"))
-    seen = summed.where("token <> 0 and box is null")
-    classes = seen.where(F.col("pages") >= min_pages).groupBy("host", "vector", "pages", "total").agg(F.count_if(~F.col("is_text")).alias("n_tags"), F.collect_set(F.when(F.col("is_text"), F.col("token"))).alias("texts"))
-    valid = classes.where("n_tags > 0 and size(texts) > 0").groupBy("host").agg(F.array_distinct(F.flatten(F.collect_list("texts"))).alias("fixed"))
-    varied = seen.where("is_text").groupBy("host").agg(F.count("*").alias("n_texts"))
-    boxes = summed.where("box is not null").groupBy("host").agg(F.max_by("box", F.struct("chars", "box")).alias("container"))
-    out = n_pages.join(valid, "host", "left").join(varied, "host", "left").join(boxes, "host", "left")
-    out = out.select("host", "n_pages", "fixed", "container", ((F.col("n_pages") >= 4 * min_pages) & (F.col("n_texts") > 3 * F.size("fixed"))).alias("varied"))
-    return out.where("fixed is not null or container is not null")
+    rows = pages.select("page_id", "url", host_of().alias("host"), "html").mapInArrow(tokens, "host string, token long, is_text boolean, n long, vector long, low long, high long")
+    seen = rows.groupBy("host", "token", "is_text").agg(F.count("*").alias("pages"), F.sum("n").alias("total"), F.bit_xor("vector").alias("vector"), F.bit_or("low").alias("low"), F.bit_or("high").alias("high"))
+    # two of five contents may share a bit, so one less is asked for
+    seen = seen.where((F.col("pages") >= min_pages) & (F.bit_count("low") + F.bit_count("high") >= min_pages - 1))
+    classes = seen.groupBy("host", "vector", "pages", "total").agg(F.count_if(~F.col("is_text")).alias("n_tags"), F.collect_set(F.when(F.col("is_text"), F.col("token"))).alias("texts"))
+    return classes.where("n_tags > 0 and size(texts) > 0").groupBy("host").agg(F.array_distinct(F.flatten(F.collect_list("texts"))).alias("fixed"))
 
 
 def extract(pages: DataFrame, min_pages: int = 5, most_broadcast: int = 500_000) -> DataFrame:
@@ -207,7 +243,7 @@ def extract(pages: DataFrame, min_pages: int = 5, most_broadcast: int = 500_000)
     rules = written(templates(pages, min_pages), "templates")
     size = rules.agg(F.sum(F.coalesce(F.size("fixed"), F.lit(0)) + 8)).first()[0] or 0
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of().alias("host"))
-    met = rows.join(F.broadcast(rules) if size <= most_broadcast else rules, "host", "left") if size else rows.selectExpr("*", "cast(null as array<long>) fixed", "cast(null as string) container", "false varied")
+    met = rows.join(F.broadcast(rules) if size <= most_broadcast else rules, "host", "left") if size else rows.selectExpr("*", "cast(null as array<long>) fixed")
 
     def run(batches):
         import pyarrow as pa
@@ -216,15 +252,15 @@ def extract(pages: DataFrame, min_pages: int = 5, most_broadcast: int = 500_000)
         for batch in batches:
             texts = []
             fixed_of = batch["fixed"].to_pylist()
-            for source, h, fixed, box, varied in zip(batch["html"].to_pylist(), batch["host"].to_pylist(), fixed_of, batch["container"].to_pylist(), batch["varied"].to_pylist()):
+            for source, h, fixed in zip(batch["html"].to_pylist(), batch["host"].to_pylist(), fixed_of):
                 if len(sets) > 10_000:
                     sets.clear()
                 if h not in sets:
                     sets[h] = frozenset(fixed or ())
-                texts.append(main_text(source, sets[h], box, not varied) if source else "")
+                texts.append(main_text(source, sets[h]) if source else "")
             yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return met.select("page_id", "url", "html", "host", "fixed", "container", "varied").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return met.select("page_id", "url", "html", "host", "fixed").mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

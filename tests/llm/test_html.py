@@ -52,3 +52,22 @@ def test_copies_on_a_host_stay(spark):
 def test_repeated_rows(spark):
     rows = [(1, "http://a/", "<p>x</p>")] * 3
     assert [r.text for r in html_text.extract(pages_of(spark, rows)).collect()] == ["x"] * 3
+
+
+def story(k):
+    return f"Story {k} tells of alpha{k} and beta{k} at some length, as no other page does."
+
+
+def test_containers_differ_by_page(spark):
+    """Ids of their own, two layouts on one host, sibling parts, lists beside paragraphs, no host: every page keeps its text."""
+    rows, want = [], {}
+    for k in range(30):
+        body = (
+            f"<div id='post-{k}'><p>{story(k)}</p></div>",
+            f"<table><tr><td>{story(k)}</td></tr></table>",
+            f"<div class=w><div class=a><p>{story(k)}</p></div><div class=b><p>End {k}.</p></div></div>",
+            f"<div class=l><p>Intro {k}.</p><ul><li>{story(k)}</li></ul></div>",
+        )[k % 4]
+        rows.append((k, None if k > 20 else f"http://h.example/{k}", f"<html><body>{body}</body></html>"))
+        want[k] = (story(k), story(k), f"{story(k)}\nEnd {k}.", f"Intro {k}.\n{story(k)}")[k % 4]
+    assert texts(html_text.extract(pages_of(spark, rows))) == want
