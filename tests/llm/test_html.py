@@ -71,3 +71,13 @@ def test_containers_differ_by_page(spark):
         rows.append((k, None if k > 20 else f"http://h.example/{k}", f"<html><body>{body}</body></html>"))
         want[k] = (story(k), story(k), f"{story(k)}\nEnd {k}.", f"Intro {k}.\n{story(k)}")[k % 4]
     assert texts(html_text.extract(pages_of(spark, rows))) == want
+
+
+def test_copies_with_tags_of_their_own_stay(spark):
+    """Copies that hold a table, also with another date on each, among 30 other pages; with and without <article>."""
+    for name in ("article", "div"):
+        rows = [(k, f"http://h.example/{k}", f"<body><{name}><p>{story(k)}</p></{name}></body>") for k in range(30)]
+        copy = f"<body><{name}><p>Day {{}}</p><h3>A head</h3><p>{story('copied')}</p><table><tr><td>cell</td></tr></table></{name}></body>"
+        rows += [(k, f"http://h.example/{k}", copy.format(k)) for k in range(100, 108)]
+        got = texts(html_text.extract(pages_of(spark, rows)))
+        assert got[103] == f"Day 103\nA head\n{story('copied')}\ncell" and got[3] == story(3)
