@@ -81,3 +81,11 @@ def test_copies_with_tags_of_their_own_stay(spark):
         rows += [(k, f"http://h.example/{k}", copy.format(k)) for k in range(100, 108)]
         got = texts(html_text.extract(pages_of(spark, rows)))
         assert got[103] == f"Day 103\nA head\n{story('copied')}\ncell" and got[3] == story(3)
+
+
+def test_words_around_an_article(spark):
+    """Words of boilerplate around an article, or in names of another meaning, don't drop it; comments still go."""
+    page = "<body><div class='{}'><nav>Menu</nav><article><p>{}</p><div class='share-price'>Up 3</div></article><section class='comments'><article>First!</article></section></div></body>"
+    names = ["layout has-sidebar", "social-policy", "page-with-header", "sidebar", "plain"]
+    rows = [(k, f"http://h{k}.example/", page.format(c, story(k))) for k, c in enumerate(names)]
+    assert texts(html_text.extract(pages_of(spark, rows))) == {k: f"{story(k)}\nUp 3" for k in range(len(names))}
