@@ -89,3 +89,9 @@ def test_words_around_an_article(spark):
     names = ["layout has-sidebar", "social-policy", "page-with-header", "sidebar", "plain"]
     rows = [(k, f"http://h{k}.example/", page.format(c, story(k))) for k, c in enumerate(names)]
     assert texts(html_text.extract(pages_of(spark, rows))) == {k: f"{story(k)}\nUp 3" for k in range(len(names))}
+
+
+def test_notice_inside_articles_on_hosts_of_any_size(spark):
+    for n in (19, 20):
+        rows = [(k, f"http://h.example/{k}", f"<body><article><p>{story(k)}</p><div class=x>Written by the desk</div></article></body>") for k in range(n)]
+        assert texts(html_text.extract(pages_of(spark, rows))) == {k: story(k) for k in range(n)}
