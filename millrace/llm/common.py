@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space of the contracts: [\x20\x09-\x0D]; a word is a run of anything else.
@@ -16,7 +16,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir where the cluster names one.
 
-    Only where it names none (a local session, as in tests) a temporary folder stands in.
+    Only where a session on this machine alone (master local) names none, a temporary folder stands in.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="millrace-")
     spark.sparkContext.setCheckpointDir(own)
     return own
@@ -76,3 +78,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def fold(column: str, mod: int):
     """crc32 of an id as text, modulo mod: the split of labelled rows into learned and held out."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(mod))
+
+
+MOST_BROADCAST = 200_000  # rows of ids and hashes
+
+
+def sample_texts(docs: DataFrame, learn: DataFrame, by: str, most: int, seed: str, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """At most `most` distinct texts of each value of `by`, whole, as (by, doc_id, _h, text); and (by, n) with the rows there are.
+
+    learn: (by, doc_id, _h) of the rows to draw from, _h the hash of the text by hashed(). Copies are
+    one text, the likelier drawn the more there are: the draw takes the least of -ln(u) / copies, u by
+    hash, so one text that makes up a label is never missed and never fills the sample either.
+    """
+    texts = written(learn.groupBy(by, "_h").agg(F.count("*").alias("_n"), F.min("doc_id").alias("doc_id")), "texts")
+    totals = written(texts.groupBy(by).agg(F.sum("_n").alias("n"), F.count("*").alias("_t")), "totals")
+    counts = totals.withColumnRenamed(by, "_by")
+    counts = F.broadcast(counts) if totals.count() <= MOST_BROADCAST else counts  # else a join would deal all texts of a value to one task
+    u = (F.pmod(F.xxhash64(F.lit(seed), "_h"), F.lit(2**52)) + 0.5) / 2.0**52
+    keyed = texts.withColumn("_key", -F.log(u) / F.col("_n")).join(counts, F.col(by) == F.col("_by"))
+    share = 1.5 * most / F.col("_t")  # keys up to here belong to this share of the texts at least: no value of `by` is sorted whole
+    near = keyed.where((share >= 1) | (F.col("_key") <= -F.log(1 - F.least(share, F.lit(1 - 1e-9)))))
+    first = F.row_number().over(Window.partitionBy(by).orderBy("_key", "_h"))
+    ids = written(near.withColumn("_k", first).where(F.col("_k") <= most).select(by, F.col("doc_id").alias("_d"), F.col("_h").alias("_g")), "sample")
+    few = F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
+    got = hashed(docs, text_col).join(few, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_g")))
+    return got.select(by, "doc_id", "_h", "text").dropDuplicates([by, "doc_id", "_h"]), totals.select(by, "n")
+
+
+def hashed(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """doc_id, text (null: empty) and its hash _h."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("_h"))

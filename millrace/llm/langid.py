@@ -17,10 +17,10 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import fold, table
+from millrace.llm.common import fold, sample_texts, table
 from millrace.llm.words import letter_words
 
 CACHE = 600_000
@@ -94,17 +94,16 @@ class Model:
 
 
 def snippets(docs: DataFrame, learn, per_lang: int = 1000, per_doc: int = 3, max_words: int = 30, seed: int = 0) -> DataFrame:
-    """lang, doc (a hash), snippet: word windows of a sample of at most per_lang labelled documents of each language.
+    """lang, doc (a hash), snippet: word windows of a sample of labelled rows.
 
-    learn: which rows may be learned from. Their share is drawn by hash, so that no language is gathered in one task.
+    learn: which rows may be learned from. per_lang: most distinct texts of a language that are
+    drawn. per_doc, max_words: how many windows are cut from anywhere in the whole text, and how long
+    they are at most; the first is of three words at most, so that short texts are learned too.
     """
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = dict(rows.groupBy("lang").count().collect())  # a model has a column for each language, so these fit the driver
-    if not counts:
-        return docs.sparkSession.createDataFrame([], "lang string, doc long, snippet string")
-    share = F.create_map(*(x for lang, n in counts.items() for x in (F.lit(lang), F.lit(1.5 * per_lang / n * 2**20))))
-    drawn = rows.select("lang", "text", F.xxhash64(F.lit(seed), "text").alias("_h")).where(F.pmod("_h", F.lit(2**20)) < F.element_at(share, F.col("lang")))
-    drawn = drawn.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy("_h"))).where(F.col("_k") <= per_lang).select("lang", "text", "_h")
+    rows = rows.select("lang", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_h"))
+    drawn, _ = sample_texts(docs, rows, "lang", per_lang, f"snippets {seed}")
+    drawn = drawn.withColumn("_h", F.xxhash64(F.lit(seed), "_h", "lang"))
 
     def cut(batches):
         import pyarrow as pa
@@ -121,7 +120,7 @@ def snippets(docs: DataFrame, learn, per_lang: int = 1000, per_doc: int = 3, max
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["lang", "doc", "snippet"])
 
-    return drawn.mapInArrow(cut, "lang string, doc long, snippet string")
+    return drawn.select("lang", "text", "_h").mapInArrow(cut, "lang string, doc long, snippet string")
 
 
 def train(rows: list[tuple[str, int, str]], buckets: int = 1 << 15, dim: int = 16, epochs: int = 4, rate: float = 0.5, batch: int = 64, keep: float = 0.9995, seed: int = 0) -> Model:
@@ -175,7 +174,10 @@ def train(rows: list[tuple[str, int, str]], buckets: int = 1 << 15, dim: int = 1
 
 
 def fit(docs: DataFrame, learn, **options) -> Model:
-    """Trains on snippets(); no labelled row, or one language only, gives a model that knows what there is."""
+    """Trains on snippets(docs, learn, **options); no labelled row, or one language only, gives a model that knows what there is.
+
+    What reaches the driver is at most per_lang * per_doc windows of each language.
+    """
     return train([(r.lang, r.doc, r.snippet) for r in snippets(docs, learn, **options).collect()])
 
 
