@@ -1,28 +1,30 @@
 """Operator 1, token-ID output: documents as sorted-string-table shards.
 
-A shard holds entries in ascending key order. A key is a tag byte (0: null id, 1: id), the id as
-8 big-endian bytes with the sign bit flipped, and 4 big-endian bytes that number rows of the same
-id; so byte order is id order, nulls first, and repeated rows stay apart. A value is the
-document's token ids as fixed-width little-endian integers.
+A shard holds entries in ascending key order. A key is a tag byte (0: null id, 1: id), the id and
+the hash of the text as 8 big-endian bytes each with the sign bit flipped, and 4 big-endian bytes
+that number rows of the same id and text; so byte order is id order, nulls first, and no two rows of
+any shards share a key. A value is the document's token ids as fixed-width little-endian integers.
 
 File: data blocks, index, Bloom filter, footer.
 * block: entries (shared key bytes, own key bytes, value bytes as varints; key suffix; value), then
   the offsets of restart entries (whole keys, every RESTART entries) and their number as u32;
   zstd-compressed, with a crc32 behind it.
 * index (sparse: one entry a block): last key, offset, length, documents before, tokens before.
-* Bloom filter over keys without the row number.
+* Bloom filter over the tags and ids of keys.
 * footer: fixed 80 bytes with the places of the other parts, counts, id width and a magic number.
 
 A lookup reads the footer, asks the Bloom filter, finds the block by binary search in the index
 and the entry by binary search over the block's restarts.
 
-Shards are written by tasks under a temporary name and renamed, so that a task that runs again
-after a lost executor replaces its shard whole.
+Every attempt of a task writes files of its own names. The driver lists those of the attempts that
+Spark counted in a manifest, written last, and deletes the rest; so a task that runs again after a
+lost executor, or twice at once, does no harm, and nothing is ever renamed or overwritten.
 """
 
 from __future__ import annotations
 
 import bisect
+import json
 import struct
 import uuid
 import zlib
@@ -39,11 +41,15 @@ from millrace.llm.tokens import default_tokenizer, encoder
 MAGIC = b"MILLSST1"
 FOOTER = struct.Struct("<QQQQQQIIQ8s8s")
 RESTART, BLOCK_BYTES, BLOOM_BITS, BLOOM_HASHES = 16, 1 << 16, 10, 7
-SHARD_BYTES = 256 << 20
+SHARD_BYTES, MANIFEST = 256 << 20, "_SHARDS.json"
 
 
 def key_prefix(doc_id: int | None) -> bytes:
-    return b"\0" * 9 if doc_id is None else b"\1" + struct.pack(">Q", (int(doc_id) + (1 << 63)) & (2**64 - 1))
+    return b"\0" * 9 if doc_id is None else b"\1" + _ordered(doc_id)
+
+
+def _ordered(n: int) -> bytes:
+    return struct.pack(">Q", (int(n) + (1 << 63)) & (2**64 - 1))
 
 
 def key_id(key: bytes) -> int | None:
@@ -208,6 +214,26 @@ class Shards:
     path: str
     shards: list[tuple[str, int, int, bytes, bytes]]
 
+    @classmethod
+    def open(cls, path: str) -> Shards:
+        """The shards of a folder, by its manifest."""
+        fs, root = open_fs(path)
+        with fs.open_input_stream(f"{root}/{MANIFEST}") as f:
+            return cls(path, [(f"{path}/{name}", docs, tokens, bytes.fromhex(a), bytes.fromhex(b)) for name, docs, tokens, a, b in json.loads(f.read())])
+
+    def commit(self) -> None:
+        """Writes the manifest and deletes what is not in it."""
+        from pyarrow.fs import FileSelector
+
+        fs, root = open_fs(self.path)
+        fs.create_dir(root, recursive=True)
+        names = [p.rsplit("/", 1)[1] for p, *_ in self.shards]
+        with fs.open_output_stream(f"{root}/{MANIFEST}") as f:
+            f.write(json.dumps([(name, docs, tokens, a.hex(), b.hex()) for name, (_, docs, tokens, a, b) in zip(names, self.shards)]).encode())
+        for info in fs.get_file_info(FileSelector(root)):
+            if info.base_name.endswith(".sst") and info.base_name not in set(names):
+                fs.delete_file(info.path)
+
     def get(self, doc_id: int | None) -> list[np.ndarray]:
         prefix = key_prefix(doc_id)
         return [x for p, _, _, a, b in self.shards if a[:9] <= prefix <= b[:9] for x in Reader(p).get(doc_id)]
@@ -261,27 +287,25 @@ def write_shards(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
 
         enc, part = encoder(model), TaskContext.get().partitionId()
         tail = b"" if end_id is None else np.array([end_id], dtype=enc.dtype).tobytes()
-        done, writer, fs, last, seq = [], None, None, None, 0
+        done, writer, last, seq, attempt = [], None, None, 0, uuid.uuid4().hex
         fs, root = open_fs(path)
         fs.create_dir(root, recursive=True)
 
         def begin():
-            nonlocal writer, tmp, first
-            tmp, first = f"{root}/_tmp-{uuid.uuid4().hex}", None
-            writer = Writer(fs.open_output_stream(tmp), enc.dtype.itemsize)
+            nonlocal writer, name, first
+            name, first = f"shard-{part:06d}-{len(done):04d}-{attempt}.sst", None
+            writer = Writer(fs.open_output_stream(f"{root}/{name}"), enc.dtype.itemsize)
 
         def finish():
             nonlocal writer
             writer.close()
-            name = f"shard-{part:06d}-{len(done):04d}.sst"
-            fs.move(tmp, f"{root}/{name}")
             done.append((part, len(done), f"{path}/{name}", writer.docs, writer.tokens, first, end, writer.at))
             writer = None
 
-        tmp = first = end = None
+        name = first = end = None
         for batch in batches:
-            for doc_id, text in zip(batch["k"].to_pylist(), batch["t"].to_pylist()):
-                prefix = key_prefix(doc_id)
+            for doc_id, h, text in zip(*(batch[c].to_pylist() for c in ("k", "h", "t"))):
+                prefix = key_prefix(doc_id) + _ordered(h)
                 seq = seq + 1 if prefix == last else 0
                 last = prefix
                 if writer is None:
@@ -297,9 +321,11 @@ def write_shards(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done)], ["part", "n", "path", "docs", "tokens", "first", "last", "bytes"])
 
     keyed = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).withColumn("h", F.xxhash64("t"))
-    ranged = keyed.repartitionByRange(parts(spark), "k", "h").sortWithinPartitions("k", "h").select("k", "t")
+    ranged = keyed.repartitionByRange(parts(spark), "k", "h").sortWithinPartitions("k", "h").select("k", "h", "t")
     rows = ranged.mapInArrow(write, "part long, n long, path string, docs long, tokens long, first binary, last binary, bytes long").collect()
-    return Shards(path, [(r.path, r.docs, r.tokens, bytes(r.first), bytes(r.last)) for r in sorted(rows)])
+    shards = Shards(path, [(r.path, r.docs, r.tokens, bytes(r.first), bytes(r.last)) for r in sorted(rows)])
+    shards.commit()
+    return shards
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ and a single blank that a non-space character follows there is always such a cut
 stands around it. So a text is cut at these blanks, and the pieces, which repeat, are looked up
 in a cache; a new piece is cut into words by the pattern, and a new word is merged by the
 library's own model. Pieces with characters beyond ASCII and the Latin-1 letters go to the
-library whole, as do all texts if the tokenizer isn't of this kind.
+library whole, as do texts that hold the string of an added token (such as the end-of-text mark,
+which the library makes one id), and all texts if the tokenizer isn't of this kind.
 """
 
 from __future__ import annotations
@@ -37,7 +38,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # the strings of special tokens in a text are ordinary text
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
@@ -46,6 +46,7 @@ class Encoder:
             and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and (spec.get("truncation"), spec.get("padding")) == (None, None)
         )
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 65536 else "<u4")
+        self.added = [t["content"] for t in spec.get("added_tokens") or ()]
         self._merge, self._chars = self.tok.model.tokenize, _byte_chars()
         self._words: dict[str, bytes] = {}
         self._mid: dict[str, bytes] = {}
@@ -76,7 +77,7 @@ class Encoder:
         """The ids of a whole text as little-endian integers of self.dtype; null: as empty."""
         if not text:
             return b""
-        if not self.fast:
+        if not self.fast or any(a in text for a in self.added):
             return self._library(text)
         head, *rest = text.split(" ")
         mid = self._mid
