@@ -21,9 +21,10 @@ from millrace.llm.common import table, written
 ROW_BLOCK, QUERY_BLOCK = 65_536, 1024
 
 
-def threshold_topk(ids: np.ndarray, rows: np.ndarray, orders: np.ndarray, query: np.ndarray, own: int, k: int, step: int = 64) -> list[tuple[int, int]]:
+def threshold_topk(ids: np.ndarray, rows: np.ndarray, orders: np.ndarray, query: np.ndarray, own: int, k: int, step: int = 64, most: int | None = None) -> list[tuple[int, int]]:
     """(score, id) of the k best of rows for query, ties to the smaller id; rows with the id `own` don't count.
 
+    most: the largest score; one beyond counts as this one (below: -most - 1).
     rows: n x d whole numbers. orders: d x n, the ascending order of each column.
     """
     n, d = rows.shape
@@ -47,6 +48,8 @@ def threshold_topk(ids: np.ndarray, rows: np.ndarray, orders: np.ndarray, query:
         seen |= fresh
         at = np.flatnonzero(fresh)
         score = rows[at] @ query
+        if most is not None:
+            score = np.clip(score, -most - 1, most)
         keep = ids[at] != own
         if len(best_s) == k:
             keep &= score >= best_s[-1]
@@ -82,7 +85,7 @@ def _block(k: int):
             orders = np.argsort(rows, axis=0, kind="stable").T.astype(np.int32)
             rows, queries = rows.astype(kind), queries.astype(kind)
             for own, q in zip(right["vec_id"].to_pylist(), queries):
-                out += [(own, i, int(s)) for s, i in threshold_topk(ids, rows, orders, q, own, k)]
+                out += [(own, i, int(s)) for s, i in threshold_topk(ids, rows, orders, q, own, k, most=2**63 - 1 if kind is object else None)]
         cols = list(zip(*out)) if out else [[], [], []]
         return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
 
@@ -94,7 +97,7 @@ def exact_topk(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
     A row with the query's id is no candidate. Rows with a null id take no part; rows that repeat
     an id are candidates each; of queries that repeat an id the least vector counts. Vectors meet
-    only those of the same length. Empty tables give no rows.
+    only those of the same length. A score that a long can't hold is the nearest long. Empty tables give no rows.
     """
     rows = written(rows.where("vec_id is not null").withColumn("d", F.size("v")), "rows")
     queries = queries.where("vec_id is not null").groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("d", F.size("v"))

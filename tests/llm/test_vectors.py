@@ -66,6 +66,13 @@ def test_huge_numbers_stay_exact():
     assert topk.threshold_topk(np.arange(3), rows, orders, rows[0], 0, 2) == [(2**80 + 15, 1), (2**40 + 3, 2)]
 
 
+def test_scores_beyond_a_long(spark):
+    rows = [(0, [3e18, 1.0], 0), (1, [3e18, 2.0], 0), (2, [3e18, 2.0], 0), (3, [-3e18, 1.0], 0), (4, [1.0, 1.0], 0)]
+    df = topk.whole_numbers(table_of(spark, rows))
+    got = topk.exact_topk(df, df.where("vec_id = 0"), 4).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got[:2]] == [(1, 2**63 - 1), (2, 2**63 - 1)] and got[3].vec_id == 3 and got[3].score == -(2**63)
+
+
 def test_e8_decoder_finds_the_nearest():
     near = lattice.minimal_vectors()
     assert near.shape == (240, 8) and np.allclose((near**2).sum(axis=1), 2) and len(np.unique(near, axis=0)) == 240
