@@ -2,33 +2,36 @@
 
 A page is read as tokens: each opening tag with its path of open elements, and each run of text
 with its path. For every host, a token's occurrence vector (how often it occurs on each page) is
-kept as a fingerprint that pages add to in any order, so a host of any size is summed up in
-parallel. Tokens of a host that share their occurrence vector are an equivalence class. A class is
-valid if enough pages of different content have it and tags are among it: its texts are then part of
-the template that these tags make, such as the fixed words of a bar, a notice or a button. Pages
-whose longest runs (half of the main text) are the same have one content, so that copies of an
-article make no template, whatever tags they hold.
-
-The order and nesting of classes are not checked and no tree of templates is built: what takes its
-place is the path in every token, which tells where in the page a text stands.
-
-Main text is what the template leaves open inside <article> or <main> where a page has them, else
-inside the common ancestor of what holds text outside links. Menus, headers, footers, sidebars,
-notices, adverts, forms and reader comments, told by element, role, class or id, are left out, but
-an <article> or <main> inside of one is not if the page has no other; scripts and styles always are.
+kept as a fingerprint, a sum that pages and repeated rows add to in any order, so a host of any
+size is summed up in parallel. Tokens of a host that share their occurrence vector are an
+equivalence class. A class is valid if it has support: enough pages of different content have it
+(hosts of fewer pages have no template, and each of their pages is read by itself), and tags are
+among it. Pages whose longest runs (half of the main text) are the same have one content, so that
+copies of an article make no template, whatever tags they hold.
+
+The tags of valid classes, nested by their paths and in the order of their mean place, are the
+host's template. A page fits it if the tags that its own classes have once a page come in that
+order. What stands in an element of the template is a slot; a slot's text is template text if it
+shares the vector of tags (the words of a bar, a notice, a button), and a slot is a menu if on all
+pages of the host nine tenths of its text or more is in links.
+
+Main text is what the template leaves open: the slots inside <article> or <main> where a page has
+them, else those that are no menus inside the common ancestor of what holds text outside links.
+Menus, headers, footers, sidebars, notices, adverts, forms and reader comments, told by element,
+role, class or id, are left out, but an <article> or <main> inside of one is not if the page has no
+other; scripts and styles always are.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
-from collections import Counter
 from os.path import commonprefix
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import table, written
+from millrace.llm.common import parts, table, written
 
 #: Element and attribute names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -149,16 +152,79 @@ def _hash(s: str) -> int:
     return xxh64_intdigest(s.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def page_tokens(source: str) -> tuple[Counter, list]:
-    tags, runs = parse(source)
-    return Counter([*(f"<{t}" for t in tags), *(f"{r[0]}|{_tidy(r[1])}" for r in runs)]), runs
-
+def page_tokens(source: str) -> tuple[dict[str, list[int]], list]:
+    """Token to [count, first place, characters outside links, characters in links], and the runs. Text tokens have no more than the count.
 
-def slots(runs: list, fixed: frozenset = frozenset()) -> list:
-    """The runs of a page's main text, without template texts (hashes in fixed).
+    Characters are those of the slots that could be main text, for the innermost block that holds them.
+    """
+    tags, runs = parse(source)
+    tokens: dict[str, list[int]] = {}
+    for k, t in enumerate(tags):
+        tokens.setdefault(f"<{t}", [0, k, 0, 0])[0] += 1
+    for r in runs:
+        tokens.setdefault(f"{r[0]}|{_tidy(r[1])}", [0, 0, 0, 0])[0] += 1
+        if (at := tokens.get(f"<{r[0]}")) and not r[3]:
+            at[3 if r[6] else 2] += len(r[1])
+    return tokens, runs
+
+
+class Template:
+    """A host's template: tags (path, vector, pages, total, mean place, characters outside and in links) and hashes of its texts."""
+
+    def __init__(self, tags: list[tuple], fixed):
+        self.fixed, self.menus, self.children = frozenset(fixed), set(), {}
+        order = sorted(tags, key=lambda t: (t[4], t[0]))
+        self.paths = {t[0] for t in order}
+        self.place: dict[str, tuple[int, int]] = {}  # of tags that pages have once: class and place in it
+        classes: dict[tuple, list[str]] = {}
+        for path, vector, pages, total, _, plain, linked in order:
+            self.children.setdefault(self.around(path), []).append(path)  # nested by span
+            if linked and linked >= 9 * plain:
+                self.menus.add(path)
+            if pages == total:
+                members = classes.setdefault((vector, pages), [])
+                self.place[path] = (len(classes), len(members))
+                members.append(path)
+
+    def fits(self, tags: list[str]) -> bool:
+        """Whether the classes' tags come in the template's order."""
+        last: dict[int, int] = {}
+        for t in tags:
+            if t in self.place:
+                of, k = self.place[t]
+                if last.get(of, -1) > k:
+                    return False
+                last[of] = k
+        return True
+
+    def slot(self, path: str) -> str:
+        """The innermost element of the template at or around a path, empty if there is none."""
+        while path and path not in self.paths:
+            path = path.rsplit("/", 1)[0]
+        return path
+
+    def around(self, path: str) -> str:
+        return self.slot(path.rsplit("/", 1)[0])
+
+    def is_menu(self, path: str) -> bool:
+        """Whether a run at this path stands in a menu: the slot, or one around it."""
+        slot = self.slot(path)
+        while slot and slot not in self.menus:
+            slot = self.around(slot)
+        return bool(slot)
+
+    def is_text(self, run: tuple) -> bool:
+        return _hash(f"{run[0]}|{_tidy(run[1])}") in self.fixed
+
+
+NONE = Template([], ())
+
+
+def slots(runs: list, template: Template = NONE) -> list:
+    """The runs of a page's main text: what the template leaves open.
 
     Those of its <article> or <main>, of the ones with fewest boilerplate regions around them; on a
-    page without one, all inside the common ancestor of what holds text outside links.
+    page without one, all but menus inside the common ancestor of what holds text outside links.
     """
     inside = [r for r in runs if not r[3] and r[4] is not None and r[5] == r[4]]
     if inside:
@@ -166,8 +232,10 @@ def slots(runs: list, fixed: frozenset = frozenset()) -> list:
         kept = [r for r in inside if r[4] == least]
     else:
         kept = [r for r in runs if not r[3] and not r[5]]
-    if fixed:
-        kept = [r for r in kept if _hash(f"{r[0]}|{_tidy(r[1])}") not in fixed]
+        if template.menus:
+            kept = [r for r in kept if not template.is_menu(r[0])] or kept
+    if template.fixed:
+        kept = [r for r in kept if not template.is_text(r)]
     if inside:
         return kept
     boxes = {r[0] for r in kept if not r[6]}
@@ -177,11 +245,11 @@ def slots(runs: list, fixed: frozenset = frozenset()) -> list:
     return [r for r in kept if r[0].split("/")[: len(box)] == box]
 
 
-def main_text(source: str, fixed: frozenset) -> str:
-    """fixed: hashes of the host's template texts."""
+def main_text(source: str, template: Template = NONE) -> str:
+    tags, runs = parse(source)
     blocks: list[str] = []
     last = None
-    for _, text, block, *_ in slots(parse(source)[1], fixed):
+    for _, text, block, *_ in slots(runs, template if template.fits(tags) else NONE):
         if block == last:
             blocks[-1] += text
         else:
@@ -206,61 +274,78 @@ def content_bits(runs: list) -> tuple[int, int]:
 
 
 def templates(pages: DataFrame, min_pages: int = 5) -> DataFrame:
-    """host, fixed (hashes of its template texts) of hosts that have any.
+    """host, tags (of valid classes), fixed (hashes of template texts), n_pages of hosts that have a template.
 
-    pages: page_id, url, html. A class's pages must differ in content: copies of one article aren't a template.
+    pages: page_id, url, html. min_pages: support, pages of different content that a class needs.
+    Rows that repeat count as often in every vector, so they change no class.
     """
 
     def tokens(batches):
         import pyarrow as pa
 
-        names = ["host", "token", "is_text", "n", "vector", "low", "high"]
-        kinds = [pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+        names = ["host", "token", "path", "n", "place", "plain", "linked", "v1", "v2", "low", "high"]
+        kinds = [pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 8]
         for batch in batches:
             rows = []
             for page_id, url, host, source in zip(*(batch[c].to_pylist() for c in ("page_id", "url", "host", "html"))):
-                counts, runs = page_tokens(source or "")
+                found, runs = page_tokens(source or "")
                 bits = content_bits(runs)
-                rows += [(host, _hash(t), t[0] != "<", n, _hash(f"{page_id} {n} {url}"), *bits) for t, n in counts.items()]
+                for t, (n, place, plain, linked) in found.items():
+                    vector = _hash(f"{page_id} {n} {url}") + (1 << 63)
+                    rows.append((host, _hash(t), t[1:] if t[0] == "<" else None, n, place, plain, linked, vector >> 32, vector & 0xFFFFFFFF, *bits))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
-    rows = pages.select("page_id", "url", host_of().alias("host"), "html").mapInArrow(tokens, "host string, token long, is_text boolean, n long, vector long, low long, high long")
-    seen = rows.groupBy("host", "token", "is_text").agg(F.count("*").alias("pages"), F.sum("n").alias("total"), F.bit_xor("vector").alias("vector"), F.bit_or("low").alias("low"), F.bit_or("high").alias("high"))
+    schema = "host string, token long, path string, n long, place long, plain long, linked long, v1 long, v2 long, low long, high long"
+    rows = pages.select("page_id", "url", host_of().alias("host"), "html").mapInArrow(tokens, schema)
+    sums = [F.sum(c).alias(c) for c in ("place", "plain", "linked", "v1", "v2")]
+    seen = rows.groupBy("host", "token", "path").agg(F.count("*").alias("pages"), F.sum("n").alias("total"), F.bit_or("low").alias("low"), F.bit_or("high").alias("high"), *sums)
     # two of five contents may share a bit, so one less is asked for
     seen = seen.where((F.col("pages") >= min_pages) & (F.bit_count("low") + F.bit_count("high") >= min_pages - 1))
-    classes = seen.groupBy("host", "vector", "pages", "total").agg(F.count_if(~F.col("is_text")).alias("n_tags"), F.collect_set(F.when(F.col("is_text"), F.col("token"))).alias("texts"))
-    return classes.where("n_tags > 0 and size(texts) > 0").groupBy("host").agg(F.array_distinct(F.flatten(F.collect_list("texts"))).alias("fixed"))
+    vector = F.concat_ws(" ", "v1", "v2")
+    tag = F.when(F.col("path").isNotNull(), F.struct("path", vector.alias("vector"), "pages", "total", (F.col("place") / F.col("pages")).alias("place"), "plain", "linked"))
+    classes = seen.groupBy("host", "v1", "v2", "pages", "total").agg(F.collect_list(tag).alias("tags"), F.collect_set(F.when(F.col("path").isNull(), F.col("token"))).alias("texts"))
+    valid = classes.where("size(tags) > 0").groupBy("host")
+    return valid.agg(F.flatten(F.collect_list("tags")).alias("tags"), F.array_distinct(F.flatten(F.collect_list("texts"))).alias("fixed"), F.max("pages").alias("n_pages"))
 
 
 def extract(pages: DataFrame, min_pages: int = 5, most_broadcast: int = 500_000) -> DataFrame:
     """page_id, url, text, n_chars of every page.
 
-    A null or empty html gives an empty text; null and repeated ids and urls are kept (pages whose
-    url has no host share one template); other columns are left alone. The templates, one row a
-    host, are broadcast while they hold at most most_broadcast numbers, and shuffled beyond that.
+    A null or empty html gives an empty text; null and repeated ids and urls are kept, and repeated
+    rows give what single ones give; an empty table gives no rows (pages whose url has no host share
+    one template); other columns are left alone. The templates, one row a host, are broadcast while
+    they hold at most most_broadcast tags and texts; beyond that, those of the hosts with most pages
+    are (an eighth of a task's rows or more, so eight a task at most), and only the others are joined.
     """
+    spark = pages.sparkSession
     rules = written(templates(pages, min_pages), "templates")
-    size = rules.agg(F.sum(F.coalesce(F.size("fixed"), F.lit(0)) + 8)).first()[0] or 0
+    size = rules.agg(F.sum(F.size("tags") + F.size("fixed"))).first()[0] or 0
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of().alias("host"))
-    met = rows.join(F.broadcast(rules) if size <= most_broadcast else rules, "host", "left") if size else rows.selectExpr("*", "cast(null as array<long>) fixed")
+    if size <= most_broadcast:
+        met = rows.join(F.broadcast(rules.drop("n_pages")), "host", "left")
+    else:
+        big = F.col("n_pages") > pages.count() // (8 * parts(spark))
+        marked = rows.join(F.broadcast(rules.where(big).drop("n_pages")), "host", "left")
+        rest = marked.where("tags is null").drop("tags", "fixed").join(rules.where(~big).drop("n_pages"), "host", "left")
+        met = marked.where("tags is not null").unionByName(rest)
 
     def run(batches):
         import pyarrow as pa
 
-        sets: dict = {}
+        known: dict = {}
         for batch in batches:
             texts = []
-            fixed_of = batch["fixed"].to_pylist()
-            for source, h, fixed in zip(batch["html"].to_pylist(), batch["host"].to_pylist(), fixed_of):
-                if len(sets) > 10_000:
-                    sets.clear()
-                if h not in sets:
-                    sets[h] = frozenset(fixed or ())
-                texts.append(main_text(source, sets[h]) if source else "")
+            hosts = batch["host"].to_pylist()
+            for k, (source, h) in enumerate(zip(batch["html"].to_pylist(), hosts)):
+                if h not in known:
+                    if len(known) > 10_000:
+                        known.clear()
+                    known[h] = Template([tuple(t.values()) for t in batch["tags"][k].as_py() or ()], batch["fixed"][k].as_py() or ())
+                texts.append(main_text(source, known[h]) if source else "")
             yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return met.select("page_id", "url", "html", "host", "fixed").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return met.select("page_id", "url", "html", "host", "tags", "fixed").mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

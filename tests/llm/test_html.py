@@ -95,3 +95,56 @@ def test_notice_inside_articles_on_hosts_of_any_size(spark):
     for n in (19, 20):
         rows = [(k, f"http://h.example/{k}", f"<body><article><p>{story(k)}</p><div class=x>Written by the desk</div></article></body>") for k in range(n)]
         assert texts(html_text.extract(pages_of(spark, rows))) == {k: story(k) for k in range(n)}
+
+
+def test_template_of_the_table(spark, sf):
+    """Its hosts' tags make classes that nest; bars are menus and the article isn't."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    found = html_text.templates(pages).collect()
+    assert found
+    for r in found:
+        paths = {t.path for t in r.tags}
+        t = html_text.Template([tuple(x) for x in r.tags], r.fixed)
+        article = next(p for p in paths if p.endswith("/article"))
+        assert t.around(article).endswith("/body") and article in t.children[t.around(article)]
+        assert t.slot(f"{article}/p/no/such") == f"{article}/p"
+        assert any("/nav" in m for m in t.menus) and not t.is_menu(article)
+
+
+def test_menus_by_the_template(spark):
+    """A menu without any telling name, in the same element as the story: only the template tells it."""
+    page = "<body><div class=q><ul><li><a href=a>{0}</a><li><a href=b>Other {0}</a></ul><h1>Head {0}</h1><p>{1} <a href=c>link {0}</a></p></div></body>"
+    rows = [(k, f"http://h.example/{k}", page.format(k, story(k))) for k in range(12)]
+    assert texts(html_text.extract(pages_of(spark, rows))) == {k: f"Head {k}\n{story(k)} link {k}" for k in range(12)}
+    alone = html_text.main_text(rows[3][2])
+    assert alone == f"3\nOther 3\nHead 3\n{story(3)} link 3"
+
+
+def test_repeated_rows_change_no_class(spark):
+    """30 pages of a host share a paragraph on a third of them: rows twice, or three times, give what single rows give."""
+    rows = []
+    for k in range(30):
+        more = "<p>A shared paragraph of real text</p>" if k % 3 == 0 else ""
+        rows.append((k, f"http://h.example/{k}", f"<body><div class=a><div class=b>Fixed words</div><p>{story(k)}</p>{more}</div></body>"))
+    once = texts(html_text.extract(pages_of(spark, rows)))
+    assert once == {k: story(k) + ("\nA shared paragraph of real text" if k % 3 == 0 else "") for k in range(30)}
+    for times in (2, 3):
+        got = html_text.extract(pages_of(spark, rows * times)).collect()
+        assert len(got) == 30 * times and all(r.text == once[r.page_id] for r in got)
+
+
+def test_templates_beyond_the_broadcast(spark):
+    rows = [(k, f"http://h{0 if k % 3 else k}.example/{k}", f"<body><div><div class=x>Fixed words</div><p>{story(k)}</p></div></body>") for k in range(60)]
+    rows += [(100 + k, f"http://i{k % 4}.example/{k}", f"<body><div><div class=x>Fixed {k % 4}</div><p>{story(k)}</p></div></body>") for k in range(40)]
+    want = texts(html_text.extract(pages_of(spark, rows)))
+    assert want[1] == story(1) and want[107] == story(7)
+    assert texts(html_text.extract(pages_of(spark, rows), most_broadcast=0)) == want
+
+
+def test_pages_out_of_the_templates_order(spark):
+    """A page with its parts the other way round is read by itself."""
+    page = "<body><div class=a><p>{0}</p></div><div class=m><a>{1}</a></div></body>"
+    rows = [(k, f"http://h.example/{k}", page.format(story(k), k)) for k in range(20)]
+    rows.append((50, "http://h.example/50", f"<body><div class=m><a>50</a></div><div class=a><p>{story(50)}</p></div></body>"))
+    got = texts(html_text.extract(pages_of(spark, rows)))
+    assert got[3] == story(3) and got[50] == story(50)
