@@ -109,3 +109,9 @@ def hashed(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """doc_id, text (null: empty) and its hash _h."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("_h"))
+
+
+def with_rank(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """_id, _hash (of the text), row (all columns), _rank: a hash of the columns, for a choice among rows that repeat id and text."""
+    rank = F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()))
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), rank.alias("_rank"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_hash"))

@@ -2,16 +2,21 @@
 
 The words of a source, its documents in hash order, are a stream that is packed into blocks of
 block_words words (the last may be shorter). A source's target is filled by whole passes over its
-blocks and a part of one more. Each of these takings is a slot of the mix. All slots are dealt
-over the output shards by one pseudorandom permutation of all slot numbers: so the source counts
-of a shard are a multinomial draw, taken together with those of the other shards so that they add
-up to the targets. Within a source, the slots of each pass are mapped to blocks by a pseudorandom
-permutation of that source and pass, and slots and blocks are joined by source and block index.
+blocks and a part of one more. Each of these takings is a slot of the source, and the mix has as
+many places, in shards of shard_slots places.
+
+Every place of every shard draws a source by hash, with the sources' slots as weights: so the source
+counts of a shard are a multinomial draw. The k-th draw of a source over all shards is its k-th slot.
+The draws' totals miss the slots by chance, a root of their number: draws beyond a source's last
+slot go, in order, to the sources that were drawn too seldom, so that each slot is used exactly once
+and the words taken meet the targets. Within a source, the slots of each pass are mapped to blocks
+by a pseudorandom permutation of that source and pass, and slots and blocks are joined by source
+and block index.
 
 Permutations are swap-or-not networks: exact on any number of items, with nothing stored. The
 place of a document in its source's stream is the sum of the sizes before it: sums for each source
 and hash bucket, and running sums inside a bucket, so that a source with a third of all rows is
-spread. The same rows give the same mix.
+spread; a draw's number is found alike, by ranges of shards. The same rows give the same mix.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WORD, parts, table, written
+from millrace.llm.common import MOST_BROADCAST, WORD, parts, table, written
 
 BLOCK_WORDS, SHARD_SLOTS, MOST_USES, ROUNDS, CHUNK = 256, 1024, 3, 24, 4096
 
@@ -70,6 +75,42 @@ def placed(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), id_col: str
     return written(out.drop("_bucket", "_before"), "placed")
 
 
+def draws(spark: SparkSession, sources: DataFrame, total: int, seed: int = 0, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """shard, place, source_no, k: the source of each of total places, and which of the source's slots it takes.
+
+    sources: source_no, first, slots, in ranges that cover 0..total-1.
+    """
+    shard_range = 1024
+    places = spark.range(total).select(F.expr(f"id div {shard_slots}").alias("shard"), (F.col("id") % shard_slots).alias("place"), F.pmod(F.xxhash64(F.lit("draw"), F.lit(seed), "id"), F.lit(max(1, total))).alias("_u"))
+    wide = sources.withColumn("_c", F.explode(F.expr(f"sequence(first div {CHUNK}, (first + slots - 1) div {CHUNK})")))
+    met = places.withColumn("_c", F.expr(f"_u div {CHUNK}")).join(wide, "_c").where((F.col("_u") >= F.col("first")) & (F.col("_u") < F.col("first") + F.col("slots")))
+    nth = F.row_number().over(Window.partitionBy("shard", "source_no").orderBy("place"))
+    met = written(met.select("shard", "place", "source_no", nth.alias("_nth"), F.expr(f"shard div {shard_range}").alias("_range")), "draws")
+
+    counts = met.groupBy("_range", "shard", "source_no").agg(F.count("*").alias("_n"))
+    ranges = counts.groupBy("_range", "source_no").agg(F.sum("_n").alias("_m"))
+    ranges = ranges.withColumn("_far", F.sum("_m").over(Window.partitionBy("source_no").orderBy("_range")) - F.col("_m"))
+    inside = Window.partitionBy("source_no", "_range").orderBy("shard")
+    before = counts.withColumn("_near", F.sum("_n").over(inside) - F.col("_n")).join(ranges.drop("_m"), ["source_no", "_range"])
+    before = before.select("shard", "source_no", (F.col("_near") + F.col("_far")).alias("_before"))
+    dealt = met.join(before, ["shard", "source_no"]).select("shard", "place", "source_no", (F.col("_before") + F.col("_nth") - 1).alias("k"))
+
+    drawn = sources.select("source_no", "slots").join(ranges.groupBy("source_no").agg(F.sum("_m").alias("_drawn")), "source_no", "left")
+    drawn = drawn.select("source_no", "slots", F.coalesce("_drawn", F.lit(0)).alias("_drawn"))
+    running = Window.partitionBy(F.lit(0)).orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)  # sources, not slots
+    drawn = drawn.withColumns({"_over": F.greatest(F.col("_drawn") - F.col("slots"), F.lit(0)), "_lack": F.greatest(F.col("slots") - F.col("_drawn"), F.lit(0))})
+    drawn = written(drawn.withColumns({"_over_at": F.coalesce(F.sum("_over").over(running), F.lit(0)), "_lack_at": F.coalesce(F.sum("_lack").over(running), F.lit(0))}), "drawn")
+    dealt = with_sources(dealt, drawn.select("source_no", "slots", "_over_at"))
+    surplus = dealt.where("k >= slots").select("shard", "place", (F.col("_over_at") + F.col("k") - F.col("slots")).alias("_g"))
+    free = drawn.where("_lack > 0").withColumn("_j", F.explode(F.expr("sequence(0L, _lack - 1)"))).select("source_no", (F.col("_drawn") + F.col("_j")).alias("k"), (F.col("_lack_at") + F.col("_j")).alias("_g"))
+    return dealt.where("k < slots").select("shard", "place", "source_no", "k").unionByName(surplus.join(free, "_g").select("shard", "place", "source_no", "k"))
+
+
+def with_sources(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """rows with the columns of their source: a broadcast if the sources are few, so that a hot source isn't dealt to one task."""
+    return rows.join(F.broadcast(sources) if sources.count() <= MOST_BROADCAST else sources, "source_no")
+
+
 def slots(rows: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """The mix: source_no, pass, block, words (taken from the block's start), shard, place of every slot."""
     b, n = F.lit(block_words), Window.partitionBy(F.lit(0))
@@ -81,65 +122,78 @@ def slots(rows: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS, shard_
     s = s.withColumn("_short", shuffled(F.col("_blocks") - 1, F.col("_blocks"), *key, F.col("_full"), inverse=True))
     s = s.withColumn("_part", F.ceil(F.col("_rest") / b))
     s = s.withColumn("_part", F.when(F.col("_short") < F.col("_part"), F.ceil((F.col("_rest") + F.col("_lack")) / b)).otherwise(F.col("_part")))
-    s = s.withColumn("_slots", F.col("_full") * F.col("_blocks") + F.col("_part"))
-    s = s.withColumns({"_first": F.sum("_slots").over(n.orderBy("source_no")) - F.col("_slots"), "_all": F.greatest(F.lit(1), F.sum("_slots").over(n))}).where("_slots > 0")
-    s = s.withColumn("_chunk", F.explode(F.expr(f"sequence(0L, (_slots - 1) div {CHUNK})"))).repartition(parts(rows.sparkSession), "source_no", "_chunk")
-    s = s.withColumn("_k", F.explode(F.expr(f"sequence(_chunk * {CHUNK}, least(_slots, (_chunk + 1) * {CHUNK}) - 1)")))
-    s = s.withColumns({"pass": F.expr("_k div _blocks"), "_i": F.expr("_k % _blocks")})
+    s = s.withColumn("slots", F.col("_full") * F.col("_blocks") + F.col("_part"))
+    s = written(s.withColumn("first", F.sum("slots").over(n.orderBy("source_no")) - F.col("slots")).where("slots > 0"), "sources")
+    total = s.agg(F.sum("slots")).first()[0] or 0
+    dealt = draws(rows.sparkSession, s.select("source_no", "first", "slots"), total, seed, shard_slots)
+    s = with_sources(dealt, s.select("source_no", "_blocks", "_full", "_rest", "_lack", "_short"))
+    s = s.withColumns({"pass": F.expr("k div _blocks"), "_i": F.expr("k % _blocks")})
     whole = F.col("pass") < F.col("_full")
     s = s.withColumn("block", shuffled(F.col("_i"), F.col("_blocks"), *key, F.col("pass")))
     before = F.col("_i") * b - F.when(F.col("_i") > F.col("_short"), F.col("_lack")).otherwise(0)
     s = s.withColumn("words", F.when(whole, b).otherwise(F.least(b, F.col("_rest") - before)).cast("long"))
-    place = shuffled(F.col("_first") + F.col("_k"), F.col("_all"), F.lit(seed), F.lit("slots"))
-    return s.select("source_no", "pass", "block", "words", F.floor(place / shard_slots).alias("shard"), F.pmod(place, F.lit(shard_slots)).alias("place"))
+    return s.select("source_no", "pass", "block", "words", "shard", "place")
 
 
 def takings(rows: DataFrame, chosen: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row for each document, block and slot of it: the columns of rows, pass, first and last (words of the document, last not included)."""
+    """One row for each document, block and slot of it: the columns of rows, pass, shard, place, first and last (words of the document, last not included)."""
     end = F.col("offset") + F.col("size")
     pieces = rows.where("size > 0").withColumn("block", F.explode(F.sequence(F.expr(f"offset div {block_words}"), F.expr(f"(offset + size - 1) div {block_words}"))))
-    met = pieces.join(chosen.select("source_no", "block", "pass", "words").hint("merge"), ["source_no", "block"])  # slots grow with the words: no broadcast
+    met = pieces.join(chosen.hint("merge"), ["source_no", "block"])  # slots grow with the words: no broadcast
     start = F.col("block") * block_words
     met = met.withColumns({"first": F.greatest(start, F.col("offset")) - F.col("offset"), "last": F.least(start + F.col("words"), end) - F.col("offset")})
     return met.where("first < last")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), seed: int = 0, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every row.
+def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), seed: int = 0, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """doc_id, size, source_size, target, taken, n_shards, first_shard of every row.
 
-    A null or empty text has size 0 and nothing is taken from it; null sources are a source;
-    repeated rows are mixed as rows of their own; an empty table gives none.
+    n_shards: output shards that take words of it (0: none), first_shard: the least of them. A null
+    or empty text has size 0 and nothing is taken from it; null sources are a source; repeated rows
+    are mixed as rows of their own; an empty table gives none; other columns are left alone.
     """
     rows = placed(docs, weights)
-    got = takings(rows, slots(rows, seed, block_words), block_words).groupBy("doc_id", "source_no", "offset", "size", "source_size", "target").agg(F.sum(F.col("last") - F.col("first")).alias("taken"))
     key = ["source_no", "offset"]
-    out = rows.where("size > 0").join(got.select(*key, "taken"), key, "left").unionByName(rows.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
-
-
-def mixed(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), seed: int = 0, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The mix itself, with the columns of docs (doc_id, text, source among them): a row for each document and pass that takes from it.
-
-    Words that follow each other in a document stay together in one text; a document that a pass
-    takes whole keeps its text as it is. n_chars, if there, is the new text's.
+    met = takings(rows, slots(rows, seed, block_words, shard_slots), block_words)
+    by_shard = met.groupBy(*key, "shard").agg(F.sum(F.col("last") - F.col("first")).alias("_n"))
+    got = by_shard.groupBy(*key).agg(F.sum("_n").alias("taken"), F.count("*").alias("n_shards"), F.min("shard").alias("first_shard"))
+    empty = rows.where("size = 0").select("*", *(F.lit(None).cast("long").alias(c) for c in ("taken", "n_shards", "first_shard")))
+    out = rows.where("size > 0").join(got, key, "left").unionByName(empty)
+    zero = (F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("taken", "n_shards"))
+    return out.select("doc_id", "size", "source_size", "target", *zero, "first_shard")
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), seed: int = 0, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """The mix itself, with the columns of docs (doc_id, text, source among them), in its order: a row for each run of words that a pass takes of a document.
+
+    Words that follow each other in a document stay together in one text, which stands in the shard
+    and at the place of its first block; rows are dealt by shard and sorted by place. A document
+    that a pass takes whole keeps its text as it is. n_chars, if there, is the new text's. Null or
+    empty texts give no row. Rows that repeat an id, text and source are mixed each; if they differ
+    in other columns, all take these from the row whose columns have the least hash.
     """
     rows = placed(docs, weights)
-    runs = takings(rows, slots(rows, seed, block_words), block_words)
+    runs = takings(rows, slots(rows, seed, block_words, shard_slots), block_words)
     again = Window.partitionBy("doc_id", "text_hash", "source_no", "offset", "pass").orderBy("first")
     runs = runs.withColumn("_new", (F.coalesce(F.lag("last").over(again), F.lit(-1)) != F.col("first")).cast("int")).withColumn("_run", F.sum("_new").over(again))
-    runs = runs.groupBy("doc_id", "text_hash", "source", "source_no", "offset", "size", "pass", "_run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    key = ["doc_id", "text_hash", "source"]
-    runs = runs.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("pass", "first", "last", "size"))).alias("_runs"))
+    runs = runs.groupBy("doc_id", "text_hash", "source", "source_no", "offset", "size", "pass", "_run").agg(F.min("first").alias("_from"), F.max("last").alias("_to"), F.min_by(F.struct("shard", "place"), "first").alias("_at"))
+    def key(d: Column, h: Column, s: Column) -> list[Column]:  # without nulls, so that the texts are shuffled once
+        return [F.coalesce(d, F.lit(0)).alias("_d"), d.isNull().alias("_dn"), h.alias("_h"), F.coalesce(s.cast("string"), F.lit("")).alias("_s"), s.isNull().alias("_sn")]
+
+    of = ["_d", "_dn", "_h", "_s", "_sn"]
+    runs = runs.select(*key(F.col("doc_id"), F.col("text_hash"), F.col("source")), F.col("size").alias("_size"), "_from", "_to", "_at")
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    whole = docs.select(row.alias("_row"), F.col("doc_id").cast("long").alias("_d"), F.xxhash64("text").alias("_h"), F.col("source").alias("_s"), F.col("text").alias("_t")).dropDuplicates(["_d", "_h", "_s"])
-    met = whole.join(runs, F.col("_d").eqNullSafe(F.col("doc_id")) & (F.col("_h") == F.col("text_hash")) & F.col("_s").eqNullSafe(F.col("source")))
-    met = met.withColumn("_run", F.explode("_runs")).withColumn("_n", F.col("_run.last") - F.col("_run.first"))
-    words = F.slice(F.regexp_extract_all("_t", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1)), (F.col("_run.first") + 1).cast("int"), F.col("_n").cast("int"))
-    met = met.withColumn("_t", F.when(F.col("_n") == F.col("_run.size"), F.col("_t")).otherwise(F.array_join(words, "")))
-    new = F.col("_row").withField("text", F.col("_t"))
+    rank = F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()))
+    whole = docs.select(row.alias("_row"), rank.alias("_rank"), *key(F.col("doc_id").cast("long"), F.xxhash64("text"), F.col("source")))
+    met = whole.groupBy(*of).agg(F.min_by("_row", "_rank").alias("_row")).join(runs, of)
+    text, n = F.col("_row.text"), F.col("_to") - F.col("_from")
+    words = F.slice(F.regexp_extract_all(text, F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1)), (F.col("_from") + 1).cast("int"), n.cast("int"))
+    met = met.withColumn("_text", F.when(n == F.col("_size"), text).otherwise(F.array_join(words, "")))
+    new = F.col("_row").withField("text", F.col("_text"))
     if "n_chars" in docs.columns:
-        new = new.withField("n_chars", F.length("_t").cast(docs.schema["n_chars"].dataType))
-    return met.select(new.alias("_row")).select("_row.*")
+        new = new.withField("n_chars", F.length("_text").cast(docs.schema["n_chars"].dataType))
+    ordered = met.select(new.alias("_row"), "_at").repartition(parts(docs.sparkSession), "_at.shard").sortWithinPartitions("_at.shard", "_at.place", "_row.doc_id")
+    return ordered.select("_row.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

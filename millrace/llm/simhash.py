@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import forget, table, written
+from millrace.llm.common import forget, table, with_rank, written
 from millrace.llm.graph import connected_components
 
 MOST = 64
@@ -109,13 +109,12 @@ def near_duplicates(docs: DataFrame, n: int = 3, bits: int = 2, id_col: str = "d
 
 
 def one_of_each(docs: DataFrame, n: int = 3, bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that come first in their component: one row of each."""
+    """The rows of docs, all columns, that come first in their component: one row of each. Of rows that repeat id and text, the one whose columns have the least hash."""
     rows = written(fingerprints(docs, n, id_col=id_col, text_col=text_col), "fingerprints")
     firsts = written(components(rows, bits).select(F.col("component_id").alias("_id"), F.col("first_hash").alias("_hash")).distinct(), "firsts")
     forget(rows)
-    marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_hash"))
-    keep = marked.alias("d").join(firsts.alias("f"), F.col("d._id").eqNullSafe(F.col("f._id")) & (F.col("d._hash") == F.col("f._hash")), "left_semi")
-    return keep.dropDuplicates(["_id", "_hash"]).select("row.*")
+    keep = with_rank(docs, id_col, text_col).alias("d").join(firsts.alias("f"), F.col("d._id").eqNullSafe(F.col("f._id")) & (F.col("d._hash") == F.col("f._hash")), "left_semi")
+    return keep.groupBy("_id", "_hash").agg(F.min_by("row", "_rank").alias("row")).select("row.*")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

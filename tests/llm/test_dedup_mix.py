@@ -147,3 +147,54 @@ def test_shard_counts_follow_the_shares(spark):
     rows = mixing.placed(docs)
     s = mixing.slots(rows, block_words=16, shard_slots=500).groupBy("shard").pivot("source_no", [0, 1]).count().collect()
     assert len(s) in (32, 33) and all(90 < r["0"] < 250 for r in s if r["shard"] < 32)  # a third of 500 in each
+
+
+def test_draws_are_multinomial_and_use_every_slot(spark):
+    from pyspark.sql import functions as F
+
+    shares, size = [5000, 1, 2999, 12_000], 250
+    first = [sum(shares[:k]) for k in range(4)]
+    sources = spark.createDataFrame([(k, first[k], n) for k, n in enumerate(shares)], "source_no long, first long, slots long")
+    got = mixing.draws(spark, sources, sum(shares), 3, size)
+    rows = got.collect()
+    assert sorted((r.source_no, r.k) for r in rows) == [(k, j) for k, n in enumerate(shares) for j in range(n)]
+    assert sorted((r.shard, r.place) for r in rows) == [(j // size, j % size) for j in range(sum(shares))]
+    counts = Counter((r.shard, r.source_no) for r in rows)
+    p = shares[3] / sum(shares)
+    spread = [(counts[m, 3] - size * p) ** 2 / (size * p * (1 - p)) for m in range(sum(shares) // size)]
+    assert 0.6 < sum(spread) / len(spread) < 1.5  # of independent draws; one deal of all slots to shards would have it too, fixed counts 0
+    assert sorted(map(str, rows)) == sorted(map(str, got.collect()))
+    assert mixing.draws(spark, sources.limit(0), 0).count() == 0
+    assert sorted(r.k for r in mixing.draws(spark, sources.where("source_no = 1").select("source_no", F.lit(0).cast("long").alias("first"), "slots"), 1).collect()) == [0]
+
+
+def test_shards_reach_the_mix(spark):
+    docs = rows_of(spark, [(k, " ".join(f"d{k}w{j}" for j in range(100)), "ab"[k % 2]) for k in range(300)])
+    out = mixing.mix(docs, block_words=16, shard_slots=200).collect()
+    shards = 1 + max(r.first_shard for r in out if r.taken)
+    assert shards > 5 and all((r.n_shards > 0) == (r.taken > 0) == (r.first_shard is not None) for r in out)
+    assert any(r.n_shards > 3 for r in out)
+    rows = mixing.placed(docs)
+    chosen = {(r.source_no, r.block, r["pass"]): (r.shard, r.place) for r in mixing.slots(rows, 0, 16, 200).collect()}
+    at = {r.doc_id: (r.source_no, r.offset) for r in rows.collect()}
+    seen = 0
+    for part in mixing.mixed(docs, block_words=16, shard_slots=200).rdd.glom().collect():
+        places = []
+        for x in part:
+            s, offset = at[x.doc_id]
+            block = (offset + int(x.text.split()[0].split("w")[1])) // 16
+            may = [chosen[s, block, p] for p in range(4) if (s, block, p) in chosen]
+            places += may if len(may) == 1 else []
+        assert places == sorted(places)
+        seen += len(places)
+    assert seen > 100
+
+
+def test_mix_of_odd_rows(spark):
+    """Repeated rows that differ in other columns give the same mix again and again."""
+    docs = rows_of(spark, [(1, "one two", "a"), (None, None, None), (2, "", "b"), (3, "x " * 30_000, None)])
+    more = docs.unionByName(docs.withColumn("lang", docs.doc_id.cast("string")).where("doc_id = 1"))
+    first = sorted(map(str, mixing.mixed(more).collect()))
+    assert first == sorted(map(str, mixing.mixed(more.repartition(5)).collect()))
+    assert len({r.lang for r in mixing.mixed(more).where("doc_id = 1").collect()}) == 1
+    assert mixing.mixed(docs.limit(0)).count() == 0

@@ -1,12 +1,19 @@
 """The stages one after the other, each against a plain version of its decision."""
 
+import os
 import re
+import sys
 from collections import Counter
 
 import corpus_pipeline
-from millrace.llm import mixing, simhash
+import pytest
+
+from millrace.llm import mixing
 from millrace.llm.queries import ORACLE, QUERIES
 
+sys.path.insert(0, os.path.dirname(__file__))
+from test_near_copies import kept_by_brute_force
+
 SF = "/root/testdata/sf0.01"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -25,8 +32,7 @@ def test_stages(spark, tmp_path):
     # some 40 toxic rows are all there is to learn from here: on sf0.1, with ten times as many, 6 of 97 held-out ones are missed
     assert len(toxic & ids["toxicity"]) < 0.5 * len(toxic) and len(clean & ids["toxicity"]) > 0.98 * len(clean)
     assert len(ids["language"]) > 0.99 * len(ids["toxicity"])
-    groups = Counter(r.component_id for r in simhash.near_duplicates(seen["language"]).collect())
-    assert ids["near_duplicates"] == set(groups)
+    assert ids["near_duplicates"] == kept_by_brute_force([(r.doc_id, r.text) for r in seen["language"].collect()])
     taken = Counter()
     for r in mixing.mix(seen["near_duplicates"]).collect():
         taken[r.doc_id] += r.taken
@@ -44,3 +50,50 @@ def test_stages(spark, tmp_path):
 def test_registered():
     assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 11)) and set(ORACLE) <= set(QUERIES)
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, toxic_score string, lang_pred int, row string, _id int, _h string, slots string, length int, shard int"
+PLAIN = "the first of the words that are here and was with them for that is not of this"
+ODD = [
+    (1, PLAIN, "en", "a"), (1, PLAIN, "en", "a"), (1, PLAIN, "xx", "b"), (2, None, None, None), (3, "", "en", "a"), (4, " \n", "en", None), (None, PLAIN + " or a longer end of it all", "en", "a"),
+    (None, None, None, "a"), (5, "12 345 !", "de", "b"), (6, PLAIN.upper(), None, "b"), (7, "word " * 30_000, "en", "b"), (8, "und der die das ist nicht von mit auf den ein eine", "de", None),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame([(*r, len(r[1] or ""), "s", 1, "r", 2, "h", "l", 3, 4) for r in ODD], COLUMNS)
+
+
+def ids_of(df):
+    return sorted((r.doc_id for r in df.collect()), key=str)
+
+
+def test_stages_on_odd_rows(spark, odd):
+    stages = dict(corpus_pipeline.STAGES)
+    out = {name: stage(spark, odd, SF) for name, stage in stages.items()}
+    for name in ("toxicity", "language", "near_duplicates", "mixing"):
+        assert out[name].columns == odd.columns, name
+        assert out[name].schema == odd.schema or name == "mixing"
+    assert sorted(map(str, out["toxicity"].collect())) == sorted(map(str, odd.collect()))  # nothing here is like a toxic example
+    told = out["language"].collect()
+    assert not {2, 3, 4, 5} & {r.doc_id for r in told} and all(r.text for r in told)
+    assert {1, 6, 8} <= {r.doc_id for r in told} and sum(r.doc_id == 1 for r in told) == 3
+    assert ids_of(out["near_duplicates"]) == sorted([1, 2, 5, 7, 8, None], key=str)  # 6 is 1 in capitals; 3, 4 and a null are 2
+    assert [r.row for r in out["near_duplicates"].collect()] == ["r"] * 6
+    mix = out["mixing"].collect()
+    assert {r.doc_id for r in mix} == {1, None, 5, 6, 7, 8} and all(r.text.split() and r.n_chars == len(r.text) and r.row == "r" for r in mix)
+    packed = out["packing"].collect()
+    assert Counter(r.doc_id for r in packed if r.piece == 0) == Counter(r[0] for r in ODD)
+    assert all(r.length == 1 for r in packed if r.doc_id in (2, 3))
+
+
+def test_stages_on_no_rows(spark, odd):
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, odd.limit(0), SF)
+        assert got.count() == 0 and (name == "packing" or got.columns == odd.columns), name
+
+
+def test_repeats_give_one_row_again_and_again(spark, odd):
+    first = [str(r) for r in corpus_pipeline.near_duplicates(spark, odd, SF).orderBy("doc_id").collect()]
+    assert first == [str(r) for r in corpus_pipeline.near_duplicates(spark, odd.repartition(7), SF).orderBy("doc_id").collect()]
