@@ -20,10 +20,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import fold, sample_texts, table
+from millrace.llm.common import fold, sample_texts, small, table
 from millrace.llm.words import letter_words
 
-CACHE = 600_000
+CACHE = 300_000
 
 
 def subwords(word: str, buckets: int, low: int = 2, high: int = 5) -> list[int]:
@@ -193,7 +193,7 @@ def identify(docs: DataFrame, model: Model, unknown: str = "und") -> DataFrame:
         import pyarrow as pa
 
         m = shared.value
-        for batch in batches:
+        for batch in small(batches):
             preds, scores, out = [], [], []
             for text in batch["text"].to_pylist():
                 p = m.probabilities(text)

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import parts, table, written
+from millrace.llm.common import parts, small, table, written
 from millrace.llm.tokens import default_tokenizer, encoder
 
 
@@ -112,7 +112,7 @@ def pieces(docs: DataFrame, max_len: int = 2048, tokenizer: str | None = None, e
         enc = encoder(model)
         tail = b"" if end_id is None else np.array([end_id], dtype=enc.dtype).tobytes()
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * with_ids
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for doc_id, text in zip(batch["k"].to_pylist(), batch["t"].to_pylist()):
                 ids = np.frombuffer(enc.ids(text) + tail, dtype=enc.dtype).astype("<u4")

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import forget, table, with_rank, written
+from millrace.llm.common import forget, small, table, with_rank, written
 from millrace.llm.graph import connected_components
 
 MOST = 64
@@ -49,7 +49,7 @@ def fingerprints(docs: DataFrame, n: int = 3, seed: int = 42, id_col: str = "doc
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in small(batches):
             fps = np.fromiter((fingerprint(t, n, seed) for t in batch["t"].to_pylist()), dtype=np.uint64, count=batch.num_rows).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array(fps)], ["doc_id", "text_hash", "fp"])
 

@@ -24,15 +24,16 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import fold, forget, hashed, sample_texts, table, written
+from millrace.llm.common import fold, forget, hashed, sample_texts, small, table, written
 from millrace.llm.words import letter_words
 
-BLOCK, DENSE, BATCH, CACHE = 32, 16, 256, 600_000
+BLOCK, DENSE, BATCH, CACHE = 32, 16, 64, 300_000
 STEMS, LEVELS, MARK = (4, 5, 6, 7), (1, 2, 4, 8), "*"
 
 
@@ -245,7 +246,6 @@ class Model:
         self._vectors(examples)
         order = grouped(self.ptr, self.terms, self.weight)
         self._vectors([examples[e] for e in order])
-        self._ready()
 
     def _vectors(self, examples: list) -> None:
         self._names()
@@ -261,10 +261,12 @@ class Model:
         self.factor = np.full(len(self.hashes), self.floor)
         self.factor[list(self.name_of)] = 1.0
 
-    def _ready(self) -> None:
+    @cached_property
+    def index(self) -> BlockMaxIndex:
+        """Built where it is used: in the workers."""
         rank = np.empty(len(self.ids), dtype=np.int64)
         rank[np.lexsort((self.labels, np.array(self.ids, dtype=np.int64)))] = np.arange(len(self.ids))
-        self.index = BlockMaxIndex(self.ptr, self.terms, self.weight, len(self.hashes), rank)
+        return BlockMaxIndex(self.ptr, self.terms, self.weight, len(self.hashes), rank)
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(counts)) * self.idf[terms] * self.factor[terms]
@@ -310,7 +312,6 @@ class Model:
     def __setstate__(self, state):
         self.__dict__.update(state)
         self._names()
-        self._ready()
 
 
 def _bags(drawn: DataFrame) -> DataFrame:
@@ -351,7 +352,7 @@ def document_frequencies(docs: DataFrame, finder: Finder) -> tuple[int, np.ndarr
         hashes, deciding = shared.value
         f = Finder(hashes, deciding)
         rows, n = 0, np.zeros(len(hashes), dtype=np.int64)
-        for batch in batches:
+        for batch in small(batches):
             for t in batch["text"].to_pylist():
                 n[f.find(t)[0]] += 1
             rows += batch.num_rows
@@ -359,6 +360,7 @@ def document_frequencies(docs: DataFrame, finder: Finder) -> tuple[int, np.ndarr
         yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, at), pa.int32()), pa.array(np.append(rows, n[at]), pa.int64())], ["term", "n"])
 
     got = docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    shared.destroy()
     at, n = got["term"].to_numpy(), got["n"].to_numpy()
     out = np.zeros(len(finder.hashes), dtype=np.int64)
     out[at[at >= 0]] = n[at >= 0]
@@ -386,12 +388,13 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
 
     # the examples' words and deciding terms, as hashes: at most 2 * per_class texts' words, as the sample bounds them
     kept = bag.where((F.col("n") > 0) | (F.col("term") == "") | F.col("term").isin(deciding))
-    kept = kept.select("doc_id", "y", F.when(F.col("term") != "", F.xxhash64("term")).alias("h"), "n").toArrow()
+    kept = kept.select("doc_id", "y", F.when(F.col("term") != "", F.xxhash64("term")).alias("h"), F.col("n").cast("int").alias("n")).toArrow()
     ids, ys, counts, named = kept["doc_id"].to_numpy(), kept["y"].to_numpy(), kept["n"].to_numpy(), kept["h"].combine_chunks().is_valid().to_numpy(zero_copy_only=False)
     hashes, number = np.unique(kept["h"].combine_chunks().fill_null(0).to_numpy().view(np.uint64), return_inverse=True)
     hashes, number = (hashes, number) if (named & (number == 0)).any() else (hashes[1:], number - 1)  # nulls were 0, the least
     order = np.lexsort((number, ids))
-    ids, ys, counts, named, number = (x[order] for x in (ids, ys, counts, named, number))
+    ids, ys, counts, named, number = (x[order] for x in (ids, ys, counts, named, number.astype(np.int32)))
+    del kept, order
     finder = Finder(hashes, deciding)
     n_docs, df = document_frequencies(docs, finder)
     idf = np.log((1 + n_docs) / (1 + df)) + 1
@@ -400,6 +403,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
     for s, e in zip(cuts, np.append(cuts[1:], len(ids))):
         has = np.flatnonzero(named[s:e]) + s
         examples.append((int(ids[s]), int(ys[s]), number[has], np.maximum(1, counts[has])))
+    del ids, ys, counts, named, number
     n_rows = {r._y: r.n for r in totals.collect()}
     weights = (n_rows.get(0, 0) / max(1, n0), n_rows.get(1, 0) / max(1, n1))
     bare = [weights[c] * sum(1 for _, y, t, _ in examples if y == c and not len(t)) for c in (0, 1)]
@@ -416,6 +420,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(shared.value.left_out(batch["id"].to_pylist()), pa.float64())], ["id", "vote"])
 
     got = spark.range(0, len(examples), 1, max(1, -(-len(examples) // 250))).mapInArrow(votes, "id long, vote double").collect()
+    shared.destroy()
     model.calibrate([r.vote for r in sorted(got, key=lambda r: r.id)])
     return model
 
@@ -433,7 +438,7 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
         import pyarrow as pa
 
         m = shared.value
-        for batch in batches:
+        for batch in small(batches):
             got = m.scores(batch["text"].to_pylist())
             new = [pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*(batch[n] for n in kept), *new], [*kept, "toxic_score", "toxic_examples", "toxic_terms"])
