@@ -74,6 +74,20 @@ def small(batches, rows: int = 256):
             yield batch.slice(k, rows)
 
 
+def give_back() -> None:
+    """Gives memory that fitting has left free back to the system, where the C library can."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

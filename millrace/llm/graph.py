@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import forget, parts, written
 
+FEW = 20_000  # edges that one task takes without hurry
+
 
 def _star(edges: DataFrame, large: bool, n_edges: int) -> DataFrame:
     """One step over edges (a, b), a < b. Large: all larger neighbours of a node join its least one; small: all smaller ones.
@@ -21,9 +23,10 @@ def _star(edges: DataFrame, large: bool, n_edges: int) -> DataFrame:
     tasks = parts(edges.sparkSession)
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
     least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("a", "m"))
-    hub = F.col("n") > max(64, n_edges // (8 * tasks))
-    marked = both.join(F.broadcast(least.where(hub).drop("n")), "a", "left")
-    joined = marked.where("m is null").drop("m").join(least.where(~hub).drop("n"), "a").unionByName(marked.where("m is not null"))
+    if n_edges < FEW:
+        joined = both.join(least.drop("n"), "a")
+    else:
+        joined = _spread(both, least, max(64, n_edges // (8 * tasks)))
     if large:
         out = joined.where("b > a").select(F.col("m").alias("a"), "b")
     else:
@@ -31,6 +34,12 @@ def _star(edges: DataFrame, large: bool, n_edges: int) -> DataFrame:
     return out.where("a < b").distinct()
 
 
+def _spread(both: DataFrame, least: DataFrame, most: int) -> DataFrame:
+    hub = F.col("n") > most
+    marked = both.join(F.broadcast(least.where(hub).drop("n")), "a", "left")
+    return marked.where("m is null").drop("m").join(least.where(~hub).drop("n"), "a").unionByName(marked.where("m is not null"))
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (its least node) of every node of an edge. Self links and repeats do no harm; no edges, no rows."""
     pair = edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct()

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import fold, sample_texts, small, table
+from millrace.llm.common import fold, give_back, sample_texts, small, table
 from millrace.llm.words import letter_words
 
 CACHE = 300_000
@@ -131,8 +131,8 @@ def train(rows: list[tuple[str, int, str]], buckets: int = 1 << 15, dim: int = 1
     emb, out, bias = rng.normal(0, 0.1, (buckets, dim)), np.zeros((dim, len(langs))), np.zeros(len(langs))
     if len(langs) < 2:
         return Model(langs, emb, out, bias)
-    known = {w: subwords(w, buckets) for w in {w for _, _, s in rows for w in s.split()}}
-    data = [([i for w in s.split() for i in known[w]], langs.index(lang)) for lang, _, s in rows]
+    known = {w: np.array(subwords(w, buckets), dtype=np.int32) for w in {w for _, _, s in rows for w in s.split()}}
+    data = [(np.concatenate([known[w] for w in s.split()]), langs.index(lang)) for lang, _, s in rows]
     held = np.array([doc % 5 == 0 for _, doc, _ in rows])
     weight = len(rows) / (len(langs) * np.bincount([y for _, y in data], minlength=len(langs)))  # languages count alike
     order, steps = np.flatnonzero(~held), 0
@@ -141,7 +141,7 @@ def train(rows: list[tuple[str, int, str]], buckets: int = 1 << 15, dim: int = 1
         rng.shuffle(order)
         for k in range(0, len(order), batch):
             part = [data[i] for i in order[k : k + batch]]
-            ids = np.concatenate([np.array(x) for x, _ in part])
+            ids = np.concatenate([x for x, _ in part])
             n = np.array([len(x) for x, _ in part])
             of = np.repeat(np.arange(len(part)), n)
             mean = np.add.reduceat(emb[ids], np.append(0, np.cumsum(n)[:-1])) / n[:, None]
@@ -178,7 +178,9 @@ def fit(docs: DataFrame, learn, **options) -> Model:
 
     What reaches the driver is at most per_lang * per_doc windows of each language.
     """
-    return train([(r.lang, r.doc, r.snippet) for r in snippets(docs, learn, **options).collect()])
+    model = train([(r.lang, r.doc, r.snippet) for r in snippets(docs, learn, **options).collect()])
+    give_back()
+    return model
 
 
 def identify(docs: DataFrame, model: Model, unknown: str = "und") -> DataFrame:

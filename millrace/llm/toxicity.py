@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import fold, forget, hashed, sample_texts, small, table, written
+from millrace.llm.common import fold, forget, give_back, hashed, sample_texts, small, table, written
 from millrace.llm.words import letter_words
 
 BLOCK, DENSE, BATCH, CACHE = 32, 16, 64, 300_000
@@ -422,6 +422,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
     got = spark.range(0, len(examples), 1, max(1, -(-len(examples) // 250))).mapInArrow(votes, "id long, vote double").collect()
     shared.destroy()
     model.calibrate([r.vote for r in sorted(got, key=lambda r: r.id)])
+    give_back()
     return model
 
 

@@ -198,3 +198,12 @@ def test_mix_of_odd_rows(spark):
     assert first == sorted(map(str, mixing.mixed(more.repartition(5)).collect()))
     assert len({r.lang for r in mixing.mixed(more).where("doc_id = 1").collect()}) == 1
     assert mixing.mixed(docs.limit(0)).count() == 0
+
+
+def test_components_with_a_hub(spark, monkeypatch):
+    from millrace.llm import graph
+
+    monkeypatch.setattr(graph, "FEW", 0)
+    edges = spark.createDataFrame([(0, k) for k in range(1, 3000)] + [(k + 10_000, k) for k in range(1, 50)] + [(20_000, 20_001)], "a long, b long")
+    got = {r.node: r.component for r in connected_components(edges).collect()}
+    assert len(got) == 3000 + 49 + 2 and all(c == (20_000 if n >= 20_000 else 0) for n, c in got.items())
