@@ -88,6 +88,14 @@ def give_back() -> None:
         trim(0)
 
 
+def fresh_worker() -> None:
+    """Lets go of what tasks of other stages have kept in this worker process: the tokenizer's caches and free memory."""
+    from millrace.llm.tokens import encoder
+
+    encoder.cache_clear()
+    give_back()
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

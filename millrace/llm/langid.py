@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import fold, give_back, sample_texts, small, table
+from millrace.llm.common import fold, fresh_worker, give_back, sample_texts, small, table
 from millrace.llm.words import letter_words
 
 CACHE = 300_000
@@ -194,6 +194,7 @@ def identify(docs: DataFrame, model: Model, unknown: str = "und") -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        fresh_worker()
         m = shared.value
         for batch in small(batches):
             preds, scores, out = [], [], []

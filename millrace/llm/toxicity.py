@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import fold, forget, give_back, hashed, sample_texts, small, table, written
+from millrace.llm.common import fold, forget, fresh_worker, give_back, hashed, sample_texts, small, table, written
 from millrace.llm.words import letter_words
 
 BLOCK, DENSE, BATCH, CACHE = 32, 16, 64, 300_000
@@ -349,6 +349,7 @@ def document_frequencies(docs: DataFrame, finder: Finder) -> tuple[int, np.ndarr
     def run(batches):
         import pyarrow as pa
 
+        fresh_worker()
         hashes, deciding = shared.value
         f = Finder(hashes, deciding)
         rows, n = 0, np.zeros(len(hashes), dtype=np.int64)
@@ -438,6 +439,7 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        fresh_worker()
         m = shared.value
         for batch in small(batches):
             got = m.scores(batch["text"].to_pylist())
