@@ -42,15 +42,27 @@ def or_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+def decomposed(c: Column) -> Column:
+    """Compatibility-decomposed text. Plain ASCII, most text, stays as it is."""
+    return F.when(c.rlike(r"^\p{ASCII}*$"), c).otherwise(_decomposed(c))
+
+
+def key_of_decomposed(c: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_\s]", " "), r"(?U)\s+", " "))
+
+
 def question_key(c: Column) -> Column:
     """Decomposed, lower-cased, punctuation to blanks, blanks joined: the key that tells questions apart.
 
-    A mark that decomposition splits off is no word character, so accents split words. Plain ASCII,
-    most text, stays in the JVM.
+    A mark that decomposition splits off is no word character, so accents split words.
     """
-    text = F.coalesce(c, F.lit(""))
-    plain = F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(_decomposed(text))
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(plain), r"[^\p{L}\p{N}_\s]", " "), r"(?U)\s+", " "))
+    return key_of_decomposed(decomposed(F.coalesce(c, F.lit(""))))
+
+
+def question_keys(texts: Column) -> Column:
+    """The keys of an array of texts. They are decomposed as one text, as a Python function can't stand in a lambda."""
+    apart = F.transform(texts, lambda x: F.replace(F.coalesce(x, F.lit("")), F.lit("\0"), F.lit(" ")))
+    return F.when(F.size(texts) == 0, F.array().cast("array<string>")).otherwise(F.transform(F.split(decomposed(F.array_join(apart, "\0")), "\0", -1), key_of_decomposed))
 
 
 def plain_words(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from millrace.functions.text import lines, plain_words, stated_letter, stated_letters, strip, the_only
+from millrace.functions.text import lines, plain_words, question_keys, stated_letter, stated_letters, strip, the_only
 
 #: Patterns and lists.
 CONCLUSION = r"(?is).*((?:conclusion|final answer|in summary|therefore).*)"
@@ -86,7 +86,7 @@ def malformed(kind: Column, question: Column, options: Column, answer: Column, r
     """What is wrong with a record, as a list of reasons."""
     empty = lambda x: strip(F.coalesce(x, F.lit(""))) == ""
     keys = F.coalesce(F.map_keys(options), F.array().cast("array<string>"))
-    texts = F.transform(F.map_values(options), lambda v: F.trim(F.regexp_replace(F.lower(v), r"[^\p{L}\p{N}_]+", " ")))
+    texts = question_keys(F.coalesce(F.map_values(options), F.array().cast("array<string>")))
     mcq = F.coalesce(kind == "mcq", F.lit(False))
     choice = F.when(F.size(keys) == 0, "mcq without options").when(~F.coalesce(F.array_contains(keys, answer), F.lit(False)), "answer not among options").when(F.size(F.array_distinct(texts)) < F.size(texts), "duplicate option text")
     return F.array_compact(F.array(F.when(empty(question), "empty question"), F.when(mcq, choice).when(empty(response), "empty response"), F.when(reasoning.isNotNull() & empty(reasoning), "empty reasoning")))

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.grams import word_grams
 from millrace.functions.text import question_key
 
-GRAM, SHARE, MOST_BROADCAST = 13, 0.5, 2_000_000
+GRAM, SHARE, MOST_BROADCAST, MOST_BYTES = 13, 0.5, 2_000_000, 256 << 20
 
 
 class HeldOut:
-    """Held-out items as keys and grams. Both are broadcast while the grams number MOST_BROADCAST at most, else shuffled."""
+    """Held-out items as keys and grams. Both are broadcast while grams and keys number MOST_BROADCAST each at most and the keys MOST_BYTES, else shuffled."""
 
     def __init__(self, items: DataFrame, text: str, gram: int = GRAM, share: float = SHARE):
         keyed = items.select(question_key(F.col(text)).alias("key"))
@@ -20,7 +20,8 @@ class HeldOut:
         self.keys = keyed.distinct()
         lists = keyed.withColumn("item", F.xxhash64("key")).dropDuplicates(["item"]).withColumn("grams", word_grams(F.col("key"), gram)).where(F.size("grams") > 0)
         self.grams = lists.select("item", F.size("grams").alias("size"), F.explode("grams").alias("gram")).persist()
-        self.small = self.grams.count() <= MOST_BROADCAST
+        size = self.keys.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("key")), F.lit(0)).alias("bytes")).first()
+        self.small = size.n <= MOST_BROADCAST and size.bytes <= MOST_BYTES and self.grams.count() <= MOST_BROADCAST
 
     def _side(self, df: DataFrame) -> DataFrame:
         return F.broadcast(df) if self.small else df
@@ -38,14 +39,13 @@ class HeldOut:
 
 
 def first_of_key(df: DataFrame, key: str, pos: str) -> DataFrame:
-    """The first row of each key in the order of pos; one partial minimum for each key, then a join on (key, pos)."""
-    first = df.groupBy(key).agg(F.min(pos).alias(pos))
-    return df.join(first, [key, pos], "left_semi")
+    """The first row of each key in the order of pos; one partial minimum for each key, then a join on (key, pos).
 
-
-def is_first(key: str, pos: str, among: Column | None = None) -> Column:
-    w = Window.partitionBy(key)
-    return F.col(pos) == F.min(F.col(pos) if among is None else F.when(among, F.col(pos))).over(w)
+    Keys may be whole texts, so both go by a digest of 128 bits. Rows without a key are left out.
+    """
+    named = df.withColumn("_digest", F.md5(F.col(key).cast("binary")))
+    first = named.groupBy("_digest").agg(F.min(pos).alias(pos))
+    return named.join(first, ["_digest", pos], "left_semi").select(*df.columns)
 
 
 def without_held_out(df: DataFrame, items: DataFrame, key: str, item_key: str, pos: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,3 +52,36 @@ def check_least(df: DataFrame, least: int) -> DataFrame:
     if n < least:
         raise GuardError(f"{n} rows, {least} needed")
     return df
+
+
+def parse_stages(text: str, default: list[tuple[str, str]], known: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """'mode:benchmark,...' as pairs; empty: the default; stops at one that isn't known."""
+    if not text:
+        return list(default)
+    found = [tuple(part.strip() for part in item.strip().partition(":")[::2]) for item in text.split(",")]
+    if unknown := [s for s in found if s not in known]:
+        raise GuardError(f"unknown stages: {unknown}")
+    return found
+
+
+def parse_counts(text: str | None, known: set[str], least: int) -> dict[str, int]:
+    """'benchmark=n,...' as numbers, least at least; blank items are passed over."""
+    out = {}
+    for name, _, n in (item.strip().partition("=") for item in (text or "").split(",") if item.strip()):
+        if name not in known or not n.isdigit() or int(n) < least:
+            raise GuardError(f"bad count {name}={n}: a known benchmark and {least} or more")
+        out[name] = int(n)
+    return out
+
+
+def check_role(role: str, adapter: str | None, plain: bool = False) -> str | None:
+    """The adapter of a role: none for 'base' and plain models, needed for all others."""
+    if not re.fullmatch(r"[a-z0-9_]+", role):
+        raise GuardError(f"role {role!r}: lower-case letters, digits and _ only")
+    if plain and adapter:
+        raise GuardError(f"role {role} is plain and has an adapter")
+    if role == "base" or plain:
+        return None
+    if not adapter:
+        raise GuardError(f"role {role} needs an adapter")
+    return adapter

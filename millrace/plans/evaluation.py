@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.functions import tokens
 from millrace.operators import plan, report, stats, traces
 
 QUERIES: dict = {}
@@ -275,3 +276,42 @@ def plan_estimate(spark, sf):
 def loss_curve(spark, sf):
     log = spark.createDataFrame([([(10, 0.5, 1.25, 2e-4), (15, 0.75, None, None), (20, 1.0, 0.75, 1e-4)],)], "history array<struct<step:int,epoch:double,loss:double,learning_rate:double>>")
     return plan.loss_curve(log)
+
+
+_CODES = "list_position(['click', 'error', 'purchase', 'signup', 'view'], event_type)"
+
+
+@query("completion_lengths", f"""with t as (select user_id, list({_CODES} order by event_id) as w from events group by user_id),
+ c as (select user_id, w, len(w) - coalesce(nullif(list_position([x not in (4, 5) for x in list_reverse(w)], true), 0), len(w) + 1) + 1 as n from t),
+ d as (select user_id, w, n, coalesce(nullif(list_position(list_reverse(w[1:n]), 3), 0), 0) as p from c)
+ select user_id, p > 0 as closed, cast(n as int) as new_tokens, cast(n - p as int) as think_tokens, not (list_contains(w, 4) or list_contains(w, 5)) as capped from d""")
+def completion_lengths(spark, sf):
+    """Event types as token ids in the order of events; 3 ends the thinking, 4 and 5 the completion."""
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    code = F.array_position(F.array(*map(F.lit, _TYPES)), F.col("event_type")).cast("int")
+    listed = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", code.alias("w"))))["w"].alias("w"))
+    stops = tokens.stop_ids([4, 5], 5)
+    return listed.select("user_id", *(c.alias(k) for k, c in tokens.row_of_tokens(F.col("w"), 3, stops).items()), tokens.hit_the_cap(F.col("w"), stops).alias("capped"))
+
+
+@query("letter_choices", "select vec_id, substr('ABCD', cast(list_position(v, list_max(v)) as int), 1) as letter from (select vec_id, [cast(x as double) for x in embedding[1:4]] as v from embeddings)")
+def letter_choices(spark, sf):
+    v = spark.read.parquet(f"{sf}/embeddings.parquet")
+    return v.select("vec_id", tokens.pick_letter(F.slice("embedding", 1, 4).cast("array<double>"), F.array(*map(F.lit, "ABCD"))).alias("letter"))
+
+
+@query("deadline_batches", """with recursive b as (select user_id, row_number() over (partition by user_id order by event_id) as k, cast(value as double) as took from events),
+ r as (select user_id, cast(0 as bigint) as done, cast(0 as double) as used, cast(40 as double) as rate from (select distinct user_id from b)
+ union all select r.user_id, done + 1, used + took, case when done = 0 then took else cast(0.8 as double) * rate + cast(0.2 as double) * took end from r join b on b.user_id = r.user_id and b.k = r.done + 1 where used + rate <= 300)
+ select user_id, max(done) as done from r group by user_id""")
+def deadline_batches(spark, sf):
+    """Events as batches of a user's stage, value as their seconds."""
+    return plan.before_deadline(spark.read.parquet(f"{sf}/events.parquet"), ["user_id"], "event_id", "value", 300, 40).select("user_id", "done")
+
+
+@query("eval_budget", """select c_nationkey, cast(floor(2 * (n * 0.25 + g * 1.5)) as bigint) as seconds, floor(2 * (n * 0.25 + g * 1.5)) > 60 as over
+ from (select c_nationkey, count(*) as n, count(*) filter (c_acctbal > 0) as g from customer group by c_nationkey)""")
+def eval_budget(spark, sf):
+    n = spark.read.parquet(f"{sf}/customer.parquet").groupBy("c_nationkey").agg(F.count("*").alias("n"), F.count_if(F.col("c_acctbal") > 0).alias("g"))
+    timed = n.select("c_nationkey", plan.eval_seconds(F.col("n"), F.lit(0.25), F.col("g"), F.lit(1.5)).alias("seconds"))
+    return timed.withColumn("over", plan.over_budget(F.col("seconds"), 60))

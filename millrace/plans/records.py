@@ -204,9 +204,9 @@ def _round_trip(spark):
     return rows.agg(F.count("*").cast("int").alias("rows")).join(n(rows).intersectAll(n(back)).agg(F.count("*").cast("int").alias("equal")))
 
 
-@golden("malformed_records", "case_no, reasons", [(0, ""), (1, "answer not among options"), (2, "mcq without options"), (3, "empty question;duplicate option text"), (4, "empty response;empty reasoning")])
+@golden("malformed_records", "case_no, reasons", [(0, ""), (1, "answer not among options"), (2, "mcq without options"), (3, "empty question;duplicate option text"), (4, "empty response;empty reasoning"), (5, "duplicate option text"), (6, "")])
 def _malformed(spark):
-    rows = [("mcq", "Q", {"A": "x", "B": "y"}, "A", None, None), ("mcq", "Q", {"A": "x", "B": "y"}, "C", None, "t"), ("mcq", "Q", None, "A", None, None), ("mcq", " ", {"A": "x!", "B": "X"}, "A", None, None), ("dialogue", "Q", None, None, " ", " ")]
+    rows = [("mcq", "Q", {"A": "x", "B": "y"}, "A", None, None), ("mcq", "Q", {"A": "x", "B": "y"}, "C", None, "t"), ("mcq", "Q", None, "A", None, None), ("mcq", " ", {"A": "x!", "B": "X"}, "A", None, None), ("dialogue", "Q", None, None, " ", " "), ("mcq", "Q", {"A": "x²", "B": "x2"}, "A", None, None), ("mcq", "Q", {"A": "x²", "B": "x3"}, "A", None, None)]
     df = _cases(spark, rows, "kind string, question string, options map<string,string>, answer string, response string, reasoning string")
     return df.select("case_no", F.array_join(traces.malformed(*(F.col(c) for c in ("kind", "question", "options", "answer", "response", "reasoning"))), ";").alias("reasons"))
 
