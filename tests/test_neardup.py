@@ -35,3 +35,45 @@ def test_share_of_an_item(spark):
     keyed = spark.createDataFrame(docs, "id long, text string").withColumn("key", question_key(F.col("text")))
     held = decontam.HeldOut(spark.createDataFrame([(item,), ("short",)], "t string"), "t")
     assert {r.id: r.verdict for r in held.verdicts(keyed, "id").collect()} == {0: "exact", 1: "ngram", 3: "exact", 4: "exact"}
+
+
+def shuffled_mb(spark) -> float:
+    """MB that all stages of the session so far have written for a shuffle."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    none = jvm.java.util.ArrayList()
+    stages = spark._jsc.sc().statusStore().stageList(none, False, False, gateway.new_array(jvm.double, 0), none)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size())) / 1e6
+
+
+def few_copies(spark, n: int = 1500, words: int = 400):
+    """Texts without common grams, of which the last ten copy the first but for one word."""
+    rng = random.Random(5)
+    rows = [(k, [f"w{rng.randrange(10**7)}" for _ in range(words)]) for k in range(n - 10)]
+    rows += [(n - 10 + k, ["changed", *rows[k][1][1:]]) for k in range(10)]
+    return spark.createDataFrame([(k, " ".join(w), f"s{k % 2}") for k, w in rows], "id long, text string, label string")
+
+
+def test_pairs_shuffle_less_than_the_grams(spark):
+    docs = few_copies(spark)
+    before = shuffled_mb(spark)
+    got = {(r.a, r.b) for r in neardup.near_pairs(docs, "id", "text").collect()}
+    assert got == {(k, 1490 + k) for k in range(10)}
+    assert shuffled_mb(spark) - before < 1500 * 396 * 8 / 1e6
+
+
+def test_pairs_behind_crowded_grams(spark):
+    """The first grams of a set, in any order, are those of a passage in 60 texts: its next ones still find the copy."""
+    rng = random.Random(6)
+    passage = [f"p{k}" for k in range(200)]
+    own = [[f"w{rng.randrange(10**7)}" for _ in range(60)] for _ in range(60)]
+    rows = [(k, passage + w) for k, w in enumerate(own)] + [(100 + k, passage + own[k]) for k in range(5)] + [(200, passage + ["x", *own[7][1:]])]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in rows] + [(None, " ".join(passage))], "id long, text string")
+    assert {(r.a, r.b) for r in neardup.near_pairs(docs, "id", "text").collect()} == {(k, 100 + k) for k in range(5)} | {(7, 200)}
+
+
+def test_texts_of_one_id_are_one_set(spark):
+    rng = random.Random(7)
+    w = [f"w{rng.randrange(10**7)}" for _ in range(100)]
+    docs = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(w[:60])), (2, " ".join(w[40:]))], "id long, text string")
+    assert [(r.a, r.b, r.jaccard) for r in neardup.near_pairs(docs, "id", "text").collect()] == [(1, 2, 1.0)]
+    assert neardup.near_pairs(docs.limit(0), "id", "text").count() == 0
