@@ -77,3 +77,11 @@ def test_texts_of_one_id_are_one_set(spark):
     docs = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(w[:60])), (2, " ".join(w[40:]))], "id long, text string")
     assert [(r.a, r.b, r.jaccard) for r in neardup.near_pairs(docs, "id", "text").collect()] == [(1, 2, 1.0)]
     assert neardup.near_pairs(docs.limit(0), "id", "text").count() == 0
+
+
+def test_flags_shuffle_less_than_the_grams(spark):
+    docs = few_copies(spark)
+    before = shuffled_mb(spark)
+    got = {r.id: r.n_pairs for r in neardup.in_pairs(neardup.near_pairs(docs, "id", "text")).collect()}
+    assert got == dict.fromkeys([*range(10), *range(1490, 1500)], 1)
+    assert shuffled_mb(spark) - before < 1500 * 396 * 8 / 1e6
