@@ -85,3 +85,11 @@ def test_flags_shuffle_less_than_the_grams(spark):
     got = {r.id: r.n_pairs for r in neardup.in_pairs(neardup.near_pairs(docs, "id", "text")).collect()}
     assert got == dict.fromkeys([*range(10), *range(1490, 1500)], 1)
     assert shuffled_mb(spark) - before < 1500 * 396 * 8 / 1e6
+
+
+def test_cross_label_shuffles_less_than_the_grams(spark):
+    docs = few_copies(spark)
+    before = shuffled_mb(spark)
+    row = neardup.cross_label(neardup.near_pairs(docs, "id", "text"), docs.select("id", "label")).first()
+    assert (row.pairs, row.cross_pairs) == (10, 0)  # ids of a pair differ by 1,490
+    assert shuffled_mb(spark) - before < 1500 * 396 * 8 / 1e6
