@@ -48,7 +48,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near copies: five-word shingles, Jaccard similarity 0.8 or more.
 
-    First is the smallest id, null ids last; then the least hash of the text; of rows that repeat both,
+    Candidates are links of SimHash fingerprints (operator 2) and, as those reach the closest copies only,
+    sets that share a band of min-hashes; all are verified by the exact similarity. First is the smallest id, null ids last; then the least hash of the text; of rows that repeat both,
     the one whose columns have the least hash. Null, empty and blank texts are copies of one another;
     texts of fewer than five words are one shingle. An empty table stays empty.
     """

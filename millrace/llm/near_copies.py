@@ -1,8 +1,11 @@
 """Near copies by the Jaccard similarity of word shingles, for the pipeline.
 
 Two texts are near copies if their sets of n-word shingles have a Jaccard similarity of `threshold`
-or more. Equal sets are one row before any join. Candidates are sets that agree in all ROWS
-min-hashes of one of BANDS bands: a pair of similarity s is one with probability
+or more. Equal sets are one row before any join. Operator 2 gives the first candidates: sets whose
+SimHash fingerprints, here of n-word shingles, differ in two bits or fewer, from its tables of blocks.
+Each set is compared with the least one that it links to so, then with those left in other components.
+At 0.8 fingerprints differ in some ten bits, which blocks can't find; so sets are candidates too that
+agree in all ROWS min-hashes of one of BANDS bands: a pair of similarity s is one with probability
 1 - (1 - s^ROWS)^BANDS, 0.999993 at 0.8, and more above. Every candidate is verified by the exact
 similarity of the two texts, so nothing goes that is not a copy.
 
@@ -25,6 +28,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import forget, fresh_worker, small, with_rank, written
 from millrace.llm.graph import connected_components
+from millrace.llm.simhash import links, majority
 
 BANDS, ROWS, SEED = 30, 5, 42
 AGREE = 95  # of the 150 min-hashes: a pair of similarity 0.8 has fewer with a probability of 1e-6
@@ -68,7 +72,7 @@ def jaccard(x: np.ndarray, y: np.ndarray) -> float:
 
 
 def signatures(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text_hash (to find the row again), fp (of the whole set), size (of the set), bands and sig (a byte of each min-hash) of every row."""
+    """doc_id, text_hash (to find the row again), fp (of the whole set), print (its SimHash fingerprint), size (of the set), bands and sig (a byte of each min-hash) of every row."""
 
     def run(batches):
         import pyarrow as pa
@@ -78,13 +82,26 @@ def signatures(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame
         for batch in small(batches):
             sets = [shingles(t, n) for t in batch["t"].to_pylist()]
             fps = pa.array([xxh64_intdigest(s.tobytes()) - (1 << 63) for s in sets], pa.int64())
+            prints = pa.array(np.fromiter((majority(s) for s in sets), dtype=np.uint64, count=len(sets)).view(np.int64))
             least = list(map(min_hashes, sets))
             sizes, bands = pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(band_keys, least)), pa.list_(pa.int64()))
             sig = pa.array([(x >> np.uint64(56)).astype(np.uint8).view(np.int8) for x in least], pa.list_(pa.int8()))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], fps, sizes, bands, sig], ["doc_id", "text_hash", "fp", "size", "bands", "sig"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], fps, prints, sizes, bands, sig], ["doc_id", "text_hash", "fp", "print", "size", "bands", "sig"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long, size long, bands array<long>, sig array<tinyint>")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long, print long, size long, bands array<long>, sig array<tinyint>")
+
+
+def fingerprint_links(firsts: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of fp whose fingerprints operator 2 links; of sets that share a fingerprint, the least stands for them. firsts: fp, print of every set."""
+    prints = written(firsts.groupBy("print").agg(F.min("fp").alias("least"), F.count("*").alias("n")), "prints")
+    few = F.broadcast if prints.count() <= MOST_BROADCAST else (lambda df: df)
+    same = firsts.select("fp", "print").join(few(prints.where("n > 1").drop("n")), "print").where("fp <> least").select(F.col("least").alias("x"), F.col("fp").alias("y"))
+    near = links(prints.select(F.col("print").alias("fp")))
+    for own, new in (("a", "x"), ("b", "y")):
+        near = near.join(few(prints.select(F.col("print").alias(own), F.col("least").alias(new))), own)
+    pairs = same.unionByName(near.select("x", "y"))
+    return written(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "fingerprint_links")
 
 
 def verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
@@ -129,7 +146,8 @@ def verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, n: int, id_co
 
 def components(rows: DataFrame, docs: DataFrame, n: int, threshold: float, id_col: str, text_col: str) -> DataFrame:
     """fp, first (no, doc_id, text_hash) and component (an fp) of every set in a table of signatures()."""
-    firsts = written(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash")).alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "sets")
+    firsts = written(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash")).alias("first"), F.first("print").alias("print"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "sets")
+    by_print = fingerprint_links(firsts)
     posts = firsts.select("fp", "size", F.posexplode("bands").alias("t", "key"))
     shared = posts.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
     posts = written(posts.join(shared, ["t", "key"]), "bands")  # those alone under their key are gone
@@ -142,7 +160,8 @@ def components(rows: DataFrame, docs: DataFrame, n: int, threshold: float, id_co
         return F.least(x, y) / F.greatest(x, y) >= threshold
 
     pair = F.least("fp", "pivot.fp"), F.greatest("fp", "pivot.fp")
-    star = written(posts.where(F.col("fp") != F.col("pivot.fp")).where(alike("size", "pivot.size")).select(pair[0].alias("a"), pair[1].alias("b")).distinct(), "star")
+    star = posts.where(F.col("fp") != F.col("pivot.fp")).where(alike("size", "pivot.size")).select(pair[0].alias("a"), pair[1].alias("b"))
+    star = written(star.unionByName(by_print.groupBy("b").agg(F.min("a").alias("a"))).distinct(), "star")
     near = verified(star, firsts, docs, n, id_col, text_col)
     so_far = connected_components(near.where(F.col("j") >= threshold)).withColumnsRenamed({"node": "fp"})
     to_pivot = near.withColumnsRenamed({"a": "_a", "b": "_b"})
@@ -164,9 +183,13 @@ def components(rows: DataFrame, docs: DataFrame, n: int, threshold: float, id_co
     once = F.array_position(F.zip_with("x.bands", "y.bands", lambda a, b: a == b), True) == F.col("x.t") + 1  # a pair is met in its first common band alone
     agree = F.size(F.filter(F.zip_with("x.sig", "y.sig", lambda a, b: a == b), lambda same: same)) >= AGREE
     rest = x.join(y, may & once & (F.col("x.t") == F.col("y.t")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.major")) | (F.col("x.fp") < F.col("y.fp"))) & alike("x.size", "y.size") & agree)
-    rest = rest.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    apart = by_print
+    for side in "ab":
+        apart = apart.join(so_far.withColumnsRenamed({"fp": side, "component": f"c{side}"}), side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
+    rest = rest.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).unionByName(apart.where("ca <> cb").select("a", "b"))
+    rest = rest.distinct().join(star, ["a", "b"], "left_anti")
     near = near.unionByName(verified(rest, firsts, docs, n, id_col, text_col)).where(F.col("j") >= threshold)
-    for t in (posts, labelled, mixed):
+    for t in (posts, labelled, mixed, by_print):
         forget(t)
     linked = connected_components(near).withColumnRenamed("node", "fp")
     return firsts.select("fp", "first").join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp"))

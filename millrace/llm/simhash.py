@@ -35,7 +35,11 @@ def fingerprint(text: str | None, n: int = 3, seed: int = 42) -> int:
     if not words:
         return 0
     shingles = map(b" ".join, zip(*(words[k:] for k in range(n)))) if len(words) > n else [b" ".join(words)]
-    hashes = np.fromiter(map(xxh64_intdigest, shingles, repeat(seed)), dtype="<u8")
+    return majority(np.fromiter(map(xxh64_intdigest, shingles, repeat(seed)), dtype="<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes."""
     ones = np.zeros(64, dtype=np.int64)
     for k in range(0, len(hashes), 65_536):
         part = hashes[k : k + 65_536]

@@ -3,7 +3,11 @@
 import random
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
+from millrace.llm import near_copies
 from millrace.llm.near_copies import jaccard, one_of_each, shingles
+from millrace.llm.simhash import majority
 
 SF = "/root/testdata/sf0.01"
 
@@ -62,3 +66,26 @@ def test_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = {r.doc_id for r in one_of_each(docs).collect()}
     assert got == kept_by_brute_force([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_fingerprints_link_without_bands(spark, tmp_path):
+    """Operator 2's fingerprints alone find all copies within two bits, and only those that are similar."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(60):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(600)]
+        rows.append((2 * k, " ".join(words)))
+        words[rng.randrange(600)] = "changed"
+        rows.append((2 * k + 1, " ".join(words)))
+    sets = {i: shingles(t) for i, t in rows}
+    prints = {i: majority(s) for i, s in sets.items()}
+    close = {(i, j) for i, j in combinations(sorted(sets), 2) if (prints[i] ^ prints[j]).bit_count() <= 2 and jaccard(sets[i], sets[j]) >= 0.8}
+    assert len(close) >= 20 and all(j == i + 1 for i, j in close)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    alone = near_copies.signatures(docs, 5, "doc_id", "text").withColumn("bands", F.array(F.col("fp")))
+    alone.write.parquet(f"file://{tmp_path}/rows")
+    got = near_copies.components(spark.read.parquet(f"file://{tmp_path}/rows"), docs, 5, 0.8, "doc_id", "text").collect()
+    groups = {}
+    for r in got:
+        groups.setdefault(r.component, set()).add(r.first.doc_id)
+    assert sorted(g for g in map(tuple, map(sorted, groups.values())) if len(g) > 1) == sorted(close)
