@@ -1,5 +1,6 @@
 """Near-duplicate pairs and benchmark hits against plain versions."""
 
+import os
 import random
 
 from pyspark.sql import functions as F
@@ -93,3 +94,27 @@ def test_cross_label_shuffles_less_than_the_grams(spark):
     row = neardup.cross_label(neardup.near_pairs(docs, "id", "text"), docs.select("id", "label")).first()
     assert (row.pairs, row.cross_pairs) == (10, 0)  # ids of a pair differ by 1,490
     assert shuffled_mb(spark) - before < 1500 * 396 * 8 / 1e6
+
+
+def kept_mb(spark) -> float:
+    """MB of the tables in the shared folder."""
+    top = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(top) for f in names) / 1e6
+
+
+def with_passages(spark, n: int = 1500):
+    """Texts of 400 words, 200 of them a passage of 150 texts; the last ten copy the first but for one word."""
+    rng = random.Random(8)
+    passages = [[f"p{rng.randrange(10**7)}" for _ in range(200)] for _ in range(10)]
+    rows = [passages[k % 10] + [f"w{rng.randrange(10**7)}" for _ in range(200)] for k in range(n - 10)]
+    rows += [[*rows[k][:-1], "changed"] for k in range(10)]
+    return spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(rows)], "id long, text string")
+
+
+def test_pairs_keep_less_on_disk_than_most_grams(spark):
+    """Shuffles and tables of all steps, crowded passages included, that a disk has to hold at a time."""
+    docs = with_passages(spark)
+    before = shuffled_mb(spark) + kept_mb(spark)
+    got = {(r.a, r.b) for r in neardup.near_pairs(docs, "id", "text").collect()}
+    assert got == {(k, 1490 + k) for k in range(10)}
+    assert shuffled_mb(spark) + kept_mb(spark) - before < 1500 * 396 * 6 / 1e6
