@@ -118,3 +118,36 @@ def test_pairs_keep_less_on_disk_than_most_grams(spark):
     got = {(r.a, r.b) for r in neardup.near_pairs(docs, "id", "text").collect()}
     assert got == {(k, 1490 + k) for k in range(10)}
     assert shuffled_mb(spark) + kept_mb(spark) - before < 1500 * 396 * 6 / 1e6
+
+
+def test_flags_keep_less_on_disk_than_most_grams(spark):
+    docs = with_passages(spark)
+    before = shuffled_mb(spark) + kept_mb(spark)
+    got = {r.id: r.n_pairs for r in neardup.in_pairs(neardup.near_pairs(docs, "id", "text")).collect()}
+    assert got == dict.fromkeys([*range(10), *range(1490, 1500)], 1)
+    assert shuffled_mb(spark) + kept_mb(spark) - before < 1500 * 396 * 6 / 1e6
+
+
+def test_flags_of_passages_around_the_bound(spark):
+    """Frequencies below, at and above max_postings, sets of all sizes, pairs that only crowded grams join."""
+    rng = random.Random(9)
+    passages = [[f"p{k}_{j}" for j in range(12)] for k in range(12)]
+    rows = []
+    for k in range(150):
+        own = [f"w{k}_{j}" for j in range(rng.choice([0, 1, 3, 10]))]
+        rows.append((k, [*(w for p in rng.sample(passages[: rng.choice([3, 12])], rng.choice([1, 2, 3])) for w in p), *own]))
+    rows += [(200 + k, w[: len(w) - rng.choice([0, 1, 2])]) for k, w in rng.sample(rows, 60)]
+    sets = {k: {tuple(w[j : j + 3]) for j in range(len(w) - 2)} for k, w in rows}
+    df = {}
+    for s in sets.values():
+        for g in s:
+            df[g] = df.get(g, 0) + 1
+    want = {}
+    for a in sets:
+        for b in sets:
+            both = sets[a] & sets[b]
+            if a != b and len(both) >= 0.8 * len(sets[a] | sets[b]) and any(df[g] <= 5 for g in both):
+                want[a] = want.get(a, 0) + 1
+    docs = spark.createDataFrame([(k, " ".join(w).replace("_", "x")) for k, w in rows], "id long, text string")
+    got = {r.id: r.n_pairs for r in neardup.in_pairs(neardup.near_pairs(docs, "id", "text", 3, 0.8, 5)).collect()}
+    assert got == want and len(want) > 20
